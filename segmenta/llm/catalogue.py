@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, lookalikes, packing, splitting
+from segmenta.llm import bpe, lookalikes, packing, splitting, turns
 
-MODULES = [bpe, lookalikes, packing, splitting]
+MODULES = [bpe, lookalikes, packing, splitting, turns]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
