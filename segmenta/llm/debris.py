@@ -43,6 +43,10 @@ CJK_FILLER = "(?:" + "|".join(sorted(map(_drawn, CJK_FILLERS), key=len, reverse=
 PAUSED = r"(?:" + "|".join(ALSO_WORDS) + r")(?=\s*(?:[,，、…。]|\.\.|$))"
 
 
+#: The same for str.translate.
+NARROWED = str.maketrans(FULL, HALF, IGNORED)
+
+
 def narrow(text: Column) -> Column:
     """Without characters of no width, full-width forms as half-width ones."""
     return F.translate(text, FULL + IGNORED, HALF)
