@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, languages, lookalikes, packing, splitting, turns
+from segmenta.llm import bpe, languages, lookalikes, packing, pairs, splitting, turns
 
-MODULES = [bpe, languages, lookalikes, packing, splitting, turns]
+MODULES = [bpe, languages, lookalikes, packing, pairs, splitting, turns]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
