@@ -126,9 +126,9 @@ def is_truncated(text: str, source: str, lang: str | None, endings: dict[tuple[s
         return True
 
     def clauses(t: str) -> int:
-        """Parts between marks of three words, or seven letters of a spaceless script, at least; all if none is."""
-        parts = [c for c in _CLAUSE.split(t) if core(c)]
-        return sum(len(c.split()) > 2 or len(_SPACELESS.findall(c)) > 6 for c in parts) or len(parts[:1])
+        """Parts between marks of nine letters at least, a letter of a spaceless script for 1.4; one if none is."""
+        parts = [core(c) for c in _CLAUSE.split(t)]
+        return sum(len(c) + 0.4 * len(_SPACELESS.findall(c)) >= 9 for c in parts) or any(parts)
 
     return clauses(text) < clauses(source)
 
