@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bilingual, bpe, languages, lookalikes, packing, pairs, splitting, turns
+from segmenta.llm import bilingual, bpe, languages, lookalikes, packing, pairs, sentences, splitting, turns
 
-MODULES = [bilingual, bpe, languages, lookalikes, packing, pairs, splitting, turns]
+MODULES = [bilingual, bpe, languages, lookalikes, packing, pairs, sentences, splitting, turns]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
