@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.plans import core_periods
+from segmenta.plans import core_periods, segments
 
-MODULES = [core_periods]
-FLAGSHIP = "p2_periods"
+MODULES = [segments, core_periods]
+FLAGSHIP = "speaker_groups"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
