@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.plans import core_periods, segments
+from segmenta.plans import core_periods, frames, segments, texts
 
-MODULES = [segments, core_periods]
+MODULES = [segments, frames, texts, core_periods]
 FLAGSHIP = "speaker_groups"
 
 
