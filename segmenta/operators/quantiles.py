@@ -15,7 +15,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str,
     counts = counts.withColumn("_shard", F.floor(F.col("_v") / width).cast("bigint"))
     ranked = running(counts, keys, "_shard", ["_v"], F.col("_c"), "_cum")
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = ranked.join(total, keys) if keys else ranked.crossJoin(total)
+    ranked = ranked.join(total, keys)
     out = []
     for name, p in shares.items():
         at = (F.col("_n") - 1) * p
