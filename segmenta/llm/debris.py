@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters without width, and full-width forms with their half-width ones.
+# Characters without width, and full-width letters, digits and underscore with their half-width ones.
 IGNORED = "​‌‍⁠﻿­"
-FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-HALF = "".join(chr(c) for c in range(0x21, 0x7F))
+FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c - 0xFEE0).isalnum()) + "＿"
+HALF = "".join(chr(ord(c) - 0xFEE0) for c in FULL)
 
 # Words that name a speaker before a number.
 LABEL_WORDS = ["speaker", "spkr", "spk", "sprecher", "locuteur", "hablante", "falante", "orador", "спикер", "говорящий", "说话人", "話者", "话者", "発話者", "화자", "वक्ता", "s"]
@@ -48,7 +48,7 @@ NARROWED = str.maketrans(FULL, HALF, IGNORED)
 
 
 def narrow(text: Column) -> Column:
-    """Without characters of no width, full-width forms as half-width ones."""
+    """Without characters of no width, full-width letters and digits as half-width ones."""
     return F.translate(text, FULL + IGNORED, HALF)
 
 
