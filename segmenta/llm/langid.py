@@ -120,6 +120,8 @@ class Model:
         """For each text its cosine with the nearest centroid of each language; rows of -1 where there is no language,
         or fewer than LETTERS letters."""
         out = np.full((len(texts), len(self.langs)), -1.0, dtype=np.float32)
+        if not self.langs:
+            return out
         for a in range(0, len(texts), 2000):
             near, size = self.near([words(t) for t in texts[a : a + 2000]])
             part = np.stack([near[:, self.owner == i].max(axis=1) for i in range(len(self.langs))], axis=1)
@@ -194,6 +196,8 @@ class _Vectors:
 
 def fit(texts: list[str], labels: list[str], centroids: int = CENTROIDS) -> Model:
     langs = sorted(set(labels))
+    if not langs:
+        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS, np.float32), frozenset())
     label = np.array([langs.index(x) for x in labels])
     split = [words(t) for t in texts]
     seen: dict[str, np.ndarray] = {}
