@@ -29,7 +29,7 @@ STAND_INS = {"null", "none", "nil", "nan", "n/a", "na", "n.a.", "no text", "empt
 # How one declines, in the languages of the tables; and what a translator would decline.
 CANNOT = [
     r"can'?t\b", r"can ?not\b", r"not able", r"unable", r"won'?t be able", r"n'?t possible", r"not possible", r"must decline", r"have to decline", r"not allowed", r"not permitted", r"against my", r"refuse to",
-    r"kann\b.*\bnicht", r"nicht möglich", r"\bnicht\b.*\bmöglich", r"darf\b.*\bnicht", r"ablehnen", r"nicht imstande", r"kann ich\b.*(?:leider|keine)", r"leider\b.*\bnicht", r"darf ich\b.*\bnicht",
+    r"kann\b.{0,80}\bnicht", r"nicht möglich", r"\bnicht\b.{0,80}\bmöglich", r"darf\b.{0,80}\bnicht", r"ablehnen", r"nicht imstande", r"kann ich\b.{0,80}(?:leider|keine)", r"leider\b.{0,80}\bnicht", r"darf ich\b.{0,80}\bnicht",
     r"ne (?:peux|puis|saurais)", r"impossible", r"refuser", r"pas autorisée?", r"pas en mesure", r"pas possible",
     r"no puedo", r"no me es posible", r"no es posible", r"no estoy autorizad", r"rechazar", r"imposible", r"no soy capaz", r"no se puede",
     r"não posso", r"não me é possível", r"não é possível", r"recusar", r"não consigo", r"não estou autorizad", r"impossível",
@@ -99,7 +99,7 @@ def is_copy(text: str, source: str) -> bool:
 
 def ending(text: str) -> str | None:
     """The last word before closing marks, the last two letters of spaceless scripts; numbers are alike."""
-    m = _LAST.search(text.rstrip(" \t\n\r　 .!?。！？।…·\"'”’»)）]】」』-–—~*_"))
+    m = _LAST.search(text.rstrip(" \t\n\r　 .!?。！？।…·\"'”’»)）]】」』-–—~*_")[-100:])
     if m is None:
         return None
     return "0" if m.group()[-1].isdigit() else m.group().casefold()

@@ -58,7 +58,7 @@ FILES = set("wav mp3 mp4 txt json csv srt vtt pdf doc html xml yaml py com org n
 
 _CJK = "㐀-鿿぀-ヿ豈-﫿"
 #: A place that may be a boundary: end marks with what closes after them, a line break, white space after a CJK letter.
-_NODE = regex.compile(rf"(?P<mark>[.!?…。！？।॥｡．]+)(?P<close>[\"'”’»›)\]）】」』〉》]*)(?P<gap>\s*)(?=\S)|(?P<line>[^\S\n]*[\r\n]\s*)(?=\S)|(?<=[{_CJK}])(?P<white>[^\S\n]+)(?=[{_CJK}\p{{Lu}}“「『«\"(（])")
+_NODE = regex.compile(rf"(?P<mark>[.!?…。！？।॥｡．]+)(?P<close>[\"'”’»›)\]）】」』〉》]*)(?P<gap>\s*)(?=\S)|(?<![^\S\n])(?P<line>[^\S\n]*+[\r\n]\s*)(?=\S)|(?<=[{_CJK}])(?P<white>[^\S\n]+)(?=[{_CJK}\p{{Lu}}“「『«\"(（])")
 _FAST = re.compile(rf"[.!?…。！？।॥｡．][\"'”’»›)\]）】」』〉》]*\s*\S|[\r\n]|[{_CJK}]\s+\S")
 _INSIDE = regex.compile(r"“[^“”]*[”]|«[^«»]*»|‹[^‹›]*›|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|„[^„“”]*[“”]|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*】|<[^<>\n]{0,40}>|\"[^\"\n]{1,400}\"")
 _OPENERS = "“«‹「『„(（[【<\""

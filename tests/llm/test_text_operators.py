@@ -208,3 +208,33 @@ def test_rolling_captions(spark):
 
     df = spark.createDataFrame([("a rolling caption", "caption goes on"), ("no", "no"), ("abc", "xyz"), ("the end of it", "the end of it")], "a string, b string")
     assert [r.n for r in df.select(turns.overlap(F.col("a"), F.col("b")).alias("n")).collect()] == [7, 0, 0, 13]
+
+
+def test_overlap_equals_trying_all_lengths():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        want = max((n for n in range(4, min(len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
+        assert turns.longest_overlap(a, b) == want
+
+
+def test_long_texts_take_linear_time(model):
+    """A run of white space, of letters, of marks: each far longer than any rule looks."""
+    import time
+
+    began = time.time()
+    for text in (" " * 200_000 + "x", "x" + " " * 200_000 + "y", "a" * 200_000 + " b", "." * 200_000 + " A", "字" * 200_000, "x\n" * 100_000, "“" * 100_000, "kann " * 40_000):
+        sentences.cuts(text, sentences.Model())
+        pairs.is_truncated(text, text, "en", {}, frozenset())
+        pairs.is_refusal(text, "")
+        model.scores([text])
+        lookalikes.plain(text)
+    assert time.time() - began < 120
+
+
+def test_long_documents_are_aligned_by_blocks():
+    a = [[f"w{i}"] for i in range(5000)]
+    lexicon = bilingual.Lexicon({}, {}, {}, 1.0)
+    assert bilingual._aligned(a[:40], a[:40], lexicon) == [(i, i) for i in range(40)]
+    out = bilingual.align([f"wort{i}x." for i in range(5000)], [f"wort{i}x." for i in range(5000)], lexicon)
+    assert out == [(i, i) for i in range(5000)]
