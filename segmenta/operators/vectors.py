@@ -54,7 +54,7 @@ def similarities(rows: DataFrame, key: str, vector: str, centroids: DataFrame, l
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+                v = np.nan_to_num(np.array([[np.nan if x is None else x for x in r] for r in batch.column(1).to_pylist()], dtype=np.float64))
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
                 s = v @ c.T
                 keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(v)), len(names))))
@@ -65,16 +65,20 @@ def similarities(rows: DataFrame, key: str, vector: str, centroids: DataFrame, l
 
 
 def per_group(rows: DataFrame, keys: list[str], key: str, vector: str, cluster: Callable[[np.ndarray], list[int]]) -> DataFrame:
-    """keys, key, cluster: a clustering of each small group (the segments of one recording) by itself."""
+    """keys, key, cluster: a clustering of each small group (the segments of one recording) by itself.
+    Vectors are cut to the shortest of their group; null ones are left out, null elements count as 0."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
-        v = np.array(table.column(vector).to_pylist(), dtype=np.float64)
+        rows = table.column(vector).to_pylist()
+        least = min(map(len, rows))
+        v = np.array([[np.nan if x is None else x for x in r[:least]] for r in rows], dtype=np.float64)
+        v = np.nan_to_num(v)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
         return table.select([*keys, key]).append_column("cluster", pa.array(cluster(v), pa.int64()))
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, key)) + ", cluster bigint"
-    return rows.select(*keys, key, vector).groupBy(*keys).applyInArrow(run, schema)
+    return rows.where(F.col(vector).isNotNull()).select(*keys, key, vector).groupBy(*keys).applyInArrow(run, schema)
 
 
 def first_seen(labels: list[int]) -> list[int]:

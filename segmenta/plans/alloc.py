@@ -115,9 +115,10 @@ SELECT seg_id, CAST(i AS INT) AS i, substr(t, CAST(i AS BIGINT) + 1, 1) AS char,
 def syllable_timing(spark: SparkSession, d: str) -> DataFrame:
     """A segment's letters in even time, and whether each is an open vowel."""
     rows = seg(spark, d).where("text <> ''").withColumn("t", F.replace(F.col("text"), F.lit(" "), F.lit(""))).withColumn("n", F.greatest(F.lit(1), F.length("t")))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    c = F.substring(F.col("t"), F.col("i") + 1, F.lit(1))
-    return rows.select("seg_id", "i", c.alias("char"), F.expr("start_ms + i * (end_ms - start_ms) div n").alias("start_ms"), F.lower(c).isin("a", "e", "o").alias("is_open"))
+    letters = F.filter(F.split("t", ""), lambda c: c != "")
+    letters = F.when(F.size(letters) > 0, letters).otherwise(F.array(F.lit("")))
+    rows = rows.select("seg_id", "start_ms", "end_ms", "n", F.posexplode(letters).alias("i", "char"))
+    return rows.select("seg_id", "i", "char", F.expr("start_ms + i * (end_ms - start_ms) div n").alias("start_ms"), F.lower("char").isin("a", "e", "o").alias("is_open"))
 
 
 @query(f"WITH {SEG} SELECT seg_id, list_filter(string_split(lower(text), ''), lambda c: c <> '' AND c <> ' ') AS phonemes FROM seg WHERE length(text) BETWEEN 1 AND 60")

@@ -83,7 +83,7 @@ def probe(text: Column) -> Column:
 
 def summaries(spark: SparkSession, path: str) -> DataFrame:
     """run_dir and the labelled values of the summaries that `sinks.summary` writes."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     grab = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("run_dir"), grab(r"length_ratio: ([\d.]+)").try_cast("double").alias("length_ratio"), grab(r"sync_score: ([\d.]+)").try_cast("double").alias("sync_score"), grab(r"status: (\w+)").alias("status"))
 
