@@ -6,7 +6,7 @@ speaker is SPEAKER_00. `frame`: events as an energy series per user. `memo`: tra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from segmenta.operators.ordered import sequenced
@@ -17,8 +17,7 @@ FRAME_ORDER = ["ts", "event_id"]
 
 
 def seg(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> DataFrame:
-    rows = table(spark, sf_dir, "gold_segments").select("seg_id", "rec_id", "seg_idx", "start_s", "end_s", "text", "speaker", "label_confidence", "emotion", "ingested_at")
-    rows = latest(rows, "seg_id", "ingested_at").where("rec_id is not null and start_s is not null")
+    rows = table(spark, sf_dir, "gold_segments").where("seg_id is not null and rec_id is not null and start_s is not null")
     start, end = millis(F.col("start_s")), millis(F.col("end_s"))
     rows = rows.select(
         "rec_id", "seg_id", "seg_idx", start.alias("start_ms"), F.when(end > start, end).otherwise(start + 1000).alias("end_ms"),
@@ -26,6 +25,9 @@ def seg(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> Dat
         F.coalesce(F.nullif(F.trim("speaker"), F.lit("")), F.lit("SPEAKER_00")).alias("speaker"), "label_confidence", "emotion",
     )
     rows = rows.withColumn("shard", F.floor(F.col("start_ms") / SEG_SHARD_MS).cast("bigint"))
+    # a redelivery repeats its place, so it is the neighbour of the first delivery; later windows keep this shuffle
+    before = F.lag("seg_id").over(W.partitionBy("rec_id", "shard").orderBy(*SEG_ORDER))
+    rows = rows.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("seg_id"))).drop("_before")
     return sequenced(rows, ["rec_id"], "shard", SEG_ORDER, carry) if carry else rows
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from segmenta.functions import matching as M
 from segmenta.operators import folds, vectors as V
-from segmenta.plans.base import MEMO, memo, seg
+from segmenta.operators.diarize import diarize
+from segmenta.operators.long_segments import split_long
+from segmenta.plans.base import MEMO, frame, memo, seg
 from segmenta.plans.texts import HANGING_EN, HANGING_ZH, OPENING
 from segmenta.sources.tables import latest, table
 
@@ -111,6 +113,24 @@ def farthest_split(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d, V.farthest_split)
 
 
+@query()
+def diarize_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Speakers of groups of at most fifty vectors, as of the segments of a recording, a second each."""
+    rows = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null")
+    at = F.pmod(F.col("vec_id"), F.lit(50))
+    rows = rows.select(F.concat_ws("-", "label", F.floor(F.col("vec_id") / 50)).alias("rec_id"), F.col("vec_id").alias("idx"), (at * 1000).alias("start_ms"), (at * 1000 + 800).alias("end_ms"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return diarize(rows)
+
+
+@query()
+def long_segment_split(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's day as one segment of frames, cut until no part is too long."""
+    rows = frame(spark, d).where("rms is not null").withColumn("day", F.to_date("ts"))
+    rows = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "rms"))).alias("x"))
+    rows = rows.select(F.concat_ws(" ", "user_id", "day").alias("seg"), F.lit(0).cast("bigint").alias("start_ms"), F.flatten(F.transform("x", lambda x: F.array_repeat(x["rms"], 40))).alias("energy"))
+    return split_long(rows, "seg")
+
+
 @query()
 def crumb_glue(spark: SparkSession, d: str) -> DataFrame:
     return folds.crumb_glue(seg(spark, d))
