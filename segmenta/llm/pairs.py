@@ -58,8 +58,10 @@ _MARKED = re.compile(r"(?<![.…])[.!?。！？।][\s\"'”’»)）\]】」』
 _SPACELESS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _NOT_WORD = re.compile(r"[\W_]+")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_ASCII, _LETTERS = re.compile("[A-Za-z]"), re.compile(r"[^\W\d_]")
 _LATIN = re.compile(r"[A-Z][a-z]{3,}")
 _LAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]{1,2}$|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}'’])+$|\p{N}+$")
+_OPENED = re.compile("[(\\[“«「『（【]")
 _PAIRS = {"(": ")", "[": "]", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
 
 
@@ -68,6 +70,16 @@ def core(text: str) -> str:
     return _NOT_WORD.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
+def few_letters(text: str, most: int = LETTERS) -> bool:
+    """Fewer than `most` letters?"""
+    n = 0
+    for c in text:
+        n += c.isalpha()
+        if n >= most:
+            return False
+    return True
+
+
 def is_empty(text: str | None) -> bool:
     t = unicodedata.normalize("NFKC", text or "").strip().strip("()[]{}<>\"'“”.-* ").casefold()
     return not core(t) or t in STAND_INS
@@ -85,7 +97,7 @@ def is_refusal(text: str, source: str) -> bool:
 def is_copy(text: str, source: str) -> bool:
     """The source's letters in order, with something around them, or without one word."""
     s, t = core(source), core(text)
-    if sum(c.isalpha() for c in s) < LETTERS:
+    if few_letters(s):
         return False
     if s in t:
         return len(t) - len(s) <= max(24, len(s) // 2)
@@ -111,7 +123,7 @@ def numbers(text: str) -> list[str]:
 
 
 def is_truncated(text: str, source: str, lang: str | None, endings: dict[tuple[str, str], int], neutral: frozenset[str]) -> bool:
-    if any(text.count(a) > text.count(b) and source.count(a) <= source.count(b) for a, b in _PAIRS.items()):
+    if _OPENED.search(text) and any(text.count(a) > text.count(b) and source.count(a) <= source.count(b) for a, b in _PAIRS.items()):
         return True
     last = ending(text)
     if last is None or (lang is not None and (lang, last) not in endings and not _MARKED.search(text)):
@@ -120,10 +132,11 @@ def is_truncated(text: str, source: str, lang: str | None, endings: dict[tuple[s
     if any(n not in have for n in numbers(source)):
         return True
     # in a source of another script, what is written in Latin letters is a name and stays
-    foreign = sum(c.isascii() and c.isalpha() for c in source) * 2 < sum(c.isalpha() for c in source)
-    folded = text.casefold()
-    if foreign and any(w.lower() in neutral and w.lower() not in folded for w in _LATIN.findall(source)):
-        return True
+    names = {w.lower() for w in _LATIN.findall(source)} & neutral
+    if names and len(_ASCII.findall(source)) * 2 < len(_LETTERS.findall(source)):
+        folded = text.casefold()
+        if any(w not in folded for w in names):
+            return True
 
     def clauses(t: str) -> int:
         """Parts between marks of nine letters at least, a letter of a spaceless script for 1.4; one if none is."""
@@ -164,7 +177,7 @@ def defects(df: DataFrame, model: Model, usual: dict[tuple[str, str], int]) -> D
                 if is_empty(text):
                     out.append((i, ["empty"]))
                     continue
-                same = core(source) == core(text) and sum(c.isalpha() for c in core(text)) < LETTERS
+                same = len(text) < 80 and few_letters(core(text)) and core(source) == core(text)
                 found = ["refusal"] * is_refusal(text, source) + ["copy"] * is_copy(text, source)
                 if lang in model.langs and score.max() >= CLAIMED and score.max() - score[model.langs.index(lang)] > CLAIM:
                     found.append("wrong_language")
