@@ -17,7 +17,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +51,18 @@ TASK = [
     r"अनुवाद", r"अनुरोध", r"सामग्री", r"पाठ", r"सहायक",
 ]
 _CANNOT, _TASK = re.compile("|".join(CANNOT), re.IGNORECASE), re.compile("|".join(TASK), re.IGNORECASE)
+
+
+def _literals(patterns: list[str]) -> list[str]:
+    """The longest part of each pattern that every match of it contains."""
+    out = set()
+    for p in patterns:
+        bare = re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]|\\.|\.?\{[^}]*\}|.\?", "\n", p)
+        out.add(max(re.split(r"[\n.*+|]", bare), key=len).casefold())
+    return sorted(x for x in out if not any(y != x and y in x for y in out))
+
+
+_DECLINING = _literals(CANNOT)
 _SENTENCE = re.compile(r"(?<=[.!?。！？।])\s*")
 _CLAUSE = re.compile(r"[,，、;；](?!\d)|[。！？।!?…]|\.(?!\w)")
 _MARKED = re.compile(r"(?<![.…])[.!?。！？।][\s\"'”’»)）\]】」』]*$")
@@ -60,7 +71,6 @@ _NOT_WORD = re.compile(r"[\W_]+")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _ASCII, _LETTERS = re.compile("[A-Za-z]"), re.compile(r"[^\W\d_]")
 _LATIN = re.compile(r"[A-Z][a-z]{3,}")
-_LAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]{1,2}$|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}'’])+$|\p{N}+$")
 _OPENED = re.compile("[(\\[“«「『（【]")
 _PAIRS = {"(": ")", "[": "]", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
 
@@ -89,7 +99,8 @@ def is_refusal(text: str, source: str) -> bool:
     """It declines and speaks of the task in the same sentence, which the source doesn't."""
 
     def declines(t: str) -> bool:
-        return bool(_CANNOT.search(t)) and any(_CANNOT.search(s) and _TASK.search(s) for s in _SENTENCE.split(t.replace("’", "'")))
+        low = t.casefold()
+        return any(x in low for x in _DECLINING) and bool(_CANNOT.search(t)) and any(_CANNOT.search(s) and _TASK.search(s) for s in _SENTENCE.split(t.replace("’", "'")))
 
     return declines(text) and not declines(source)
 
@@ -111,10 +122,17 @@ def is_copy(text: str, source: str) -> bool:
 
 def ending(text: str) -> str | None:
     """The last word before closing marks, the last two letters of spaceless scripts; numbers are alike."""
-    m = _LAST.search(text.rstrip(" \t\n\r　 .!?。！？।…·\"'”’»)）]】」』-–—~*_")[-100:])
-    if m is None:
+    t = text.rstrip(" \t\n\r\u00a0\u3000.!?。！？।…·\"'”’»)）]】」』-–—~*_")[-100:]
+    if not t:
         return None
-    return "0" if m.group()[-1].isdigit() else m.group().casefold()
+    if t[-1].isdigit():
+        return "0"
+    if _SPACELESS.match(t[-1]):
+        return t[-2:] if _SPACELESS.match(t[-2:-1] or " ") else t[-1]
+    at = len(t)
+    while at and (t[at - 1].isalpha() and not _SPACELESS.match(t[at - 1]) or t[at - 1] in "'’" or unicodedata.category(t[at - 1])[0] == "M"):
+        at -= 1
+    return t[at:].casefold() or None
 
 
 def numbers(text: str) -> list[str]:
