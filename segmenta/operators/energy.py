@@ -19,18 +19,21 @@ def threshold(frames: DataFrame, keys: list[str], value: str = "rms") -> DataFra
     return p.join(whole, keys).select(*keys, F.when(thr < 1e-8, F.col("mean") * 0.2 + 1e-8).otherwise(thr).alias("thr"), "peak", "n_frames")
 
 
-def voiced(frames: DataFrame, keys: list[str], value: str = "rms", hang: int = HANG, least: int = LEAST) -> DataFrame:
+def voiced(frames: DataFrame, keys: list[str], value: str = "rms", hang: int = HANG, least: int = LEAST, raw: DataFrame | None = None) -> DataFrame:
     """Speech runs: keys, start, end (frames), openness. Frames carry idx. Speech lingers `hang` frames and begins half
-    as many before; runs of fewer than `least` frames are dropped. A key without any run is one open run."""
-    marked = frames.join(threshold(frames, keys, value), keys).withColumn("is_speech", (F.col(value) > F.col("thr")).cast("int"))
-    near, order = neighbourhood(marked, keys, "idx", hang, hang // 2, BLOCK)
+    as many before; runs of fewer than `least` frames are dropped. A key without any run is one open run. `raw` may give
+    the same frames without idx, from which the threshold is cheaper to take."""
+    raw = frames if raw is None else raw
+    marked = frames.join(threshold(raw, keys, value), keys).withColumn("is_speech", (F.col(value) > F.col("thr")).cast("int"))
+    near, order = neighbourhood(marked.select(*keys, "idx", value, "peak", "is_speech"), keys, "idx", hang, hang // 2, BLOCK)
     mask = near.withColumn("mask", F.max("is_speech").over(order.rowsBetween(-hang, hang // 2))).where("not halo")
-    mask = mask.drop("halo", "prev", "next").withColumnRenamed("idx", "at")
+    mask = mask.drop("halo", "is_speech").withColumnRenamed("idx", "at")
     runs = islands(mask, keys, "block", ["at"], ["mask"], F.col("mask") != F.col("prev.mask"), "run")
-    runs = runs.where("mask = 1").groupBy(*keys, "run").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end"), F.avg(value).alias("m"), F.first("peak").alias("peak"), F.first("n_frames").alias("n_frames"))
-    kept = runs.where(F.col("end") - F.col("start") >= least).select(*keys, "start", "end", F.least(F.lit(1.0), F.col("m") / (F.col("peak") + 1e-8) * 1.5).alias("openness"), "n_frames")
-    none = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames")).join(kept.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(none.select(*keys, F.lit(0).cast("bigint").alias("start"), F.col("n_frames").alias("end"), F.lit(0.5).alias("openness"), "n_frames"))
+    runs = runs.where("mask = 1").groupBy(*keys, "run").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end"), F.avg(value).alias("m"), F.first("peak").alias("peak"))
+    kept = runs.where(F.col("end") - F.col("start") >= least).select(*keys, "start", "end", F.least(F.lit(1.0), F.col("m") / (F.col("peak") + 1e-8) * 1.5).alias("openness"))
+    whole = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames")).join(kept, keys, "left")
+    none = F.col("start").isNull()
+    return whole.select(*keys, F.when(none, 0).otherwise(F.col("start")).cast("bigint").alias("start"), F.when(none, F.col("n_frames")).otherwise(F.col("end")).alias("end"), F.when(none, 0.5).otherwise(F.col("openness")).alias("openness"), "n_frames")
 
 
 def filled(runs: DataFrame, keys: list[str], fill: int = FILL) -> DataFrame:

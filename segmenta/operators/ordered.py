@@ -44,10 +44,24 @@ def running(rows: DataFrame, keys: list[str], shard: str, order: list[str], amou
 
 def islands(rows: DataFrame, keys: list[str], shard: str, order: list[str], carry: list[str], opens: Column, out: str) -> DataFrame:
     """Adds idx, prev, next and the number (from 0) of the island of each row. `opens` may use the row and `prev`; the
-    first row of an entity always opens one."""
-    seq = sequenced(rows, keys, shard, order, carry)
-    flag = F.when(F.col("prev").isNull() | F.coalesce(opens, F.lit(True)), 1).otherwise(0)
-    return running(seq, keys, shard, order, flag, "_island").withColumn(out, F.col("_island") - 1).drop("_island")
+    first row of an entity always opens one.
+
+    Inside a shard islands are counted without its first row; whether that opens one is decided in the summary, where the
+    row before it is known, so one summary serves neighbours, places and islands."""
+    inside = W.partitionBy(*keys, shard).orderBy(*order)
+    own, rest = F.struct(*carry), [c for c in rows.columns if c not in (*keys, shard)]
+    local = rows.withColumn("_rn", F.row_number().over(inside)).withColumn("prev", F.lag(own).over(inside)).withColumn("next", F.lead(own).over(inside))
+    flag = F.when((F.col("_rn") > 1) & F.coalesce(opens, F.lit(True)), 1).otherwise(0)
+    local = local.withColumn("_open", F.sum(flag).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    ends = local.groupBy(*keys, shard).agg(F.count(F.lit(1)).alias("_n"), F.max("_open").alias("_opened"), F.min_by(F.struct(*rest, own.alias("_own")), "_rn").alias("_first"), F.max_by(own, "_rn").alias("_last"))
+    across = W.partitionBy(*keys).orderBy(shard)
+    before = across.rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*keys, shard, "_n", "_opened", F.lag("_last").over(across).alias("prev"), F.lead("_first._own").over(across).alias("_after"), *[F.col("_first")[c].alias(c) for c in rest])
+    ends = ends.withColumn("_f", F.when(F.col("prev").isNull() | F.coalesce(opens, F.lit(True)), 1).otherwise(0))
+    ends = ends.select(*keys, shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), (F.coalesce(F.sum(F.col("_opened") + F.col("_f")).over(before), F.lit(0)) + F.col("_f")).alias("_offset"), F.col("prev").alias("_before"), "_after")
+    joined = local.join(ends, [*keys, shard])
+    joined = joined.withColumn("idx", F.col("_base") + F.col("_rn") - 1).withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after"))
+    return joined.withColumn(out, F.col("_open") + F.col("_offset") - 1).drop("_rn", "_open", "_base", "_offset", "_before", "_after")
 
 
 def neighbourhood(rows: DataFrame, keys: list[str], idx: str, before: int, after: int, block: int = 50_000) -> tuple[DataFrame, W]:

@@ -30,7 +30,7 @@ def run(spark: SparkSession, sf_dir: str, steps: tuple[str, ...] = STEPS, transl
         "groups": lambda: I.speaker_groups(own, SEG_ORDER),
         "merge_groups": lambda: I.merge_groups(own, SEG_ORDER),
         "translations": lambda: models.apply(I.merge_groups(own, SEG_ORDER).select("rec_id", "idx", "grp", "speaker", "emotion", "start_ms", "end_ms", "text"), "translate", translate),
-        "states": lambda: filled(voiced(frame(spark, sf_dir, ["rms"]), ["user_id"]), ["user_id"]),
+        "states": lambda: filled(voiced(frame(spark, sf_dir, ["rms"]), ["user_id"], raw=frame(spark, sf_dir)), ["user_id"]),
         "report": lambda: sinks.segment_lines(models.apply(I.merge_groups(own, SEG_ORDER).select("rec_id", "idx", "speaker", "emotion", "start_ms", "end_ms", "text"), "translate", translate)),
     }
     return out | {name: makers[name]() for name in steps if name in makers}

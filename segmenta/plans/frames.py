@@ -36,6 +36,10 @@ def state_runs(spark: SparkSession, d: str) -> DataFrame:
     return value_runs(rows, _KEY, "shard", ["idx"], "loud").select("user_id", "loud", F.col("head.idx").alias("start_idx"), F.col("n_rows").alias("n_frames"))
 
 
+def _voiced(spark: SparkSession, d: str) -> DataFrame:
+    return energy.voiced(frame(spark, d, ["rms"]), _KEY, raw=frame(spark, d))
+
+
 _VAD = f"""WITH {FRAME}, p AS (SELECT user_id, quantile_cont(rms, 0.2) AS p20, quantile_cont(rms, 0.5) AS p50, quantile_cont(rms, 0.8) AS p80, max(rms) AS peak, count(*) AS n FROM frame GROUP BY user_id),
 t AS (SELECT *, greatest(p20 * 1.8, p50 * 0.35, p20 + (p80 - p20) * 0.15) AS thr FROM p),
 m AS (SELECT f.*, peak, n, max(CASE WHEN rms > thr THEN 1 ELSE 0 END) OVER (PARTITION BY f.user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS mask FROM frame f JOIN t USING (user_id)),
@@ -49,11 +53,11 @@ filled AS (SELECT user_id, start, "end", 'open' AS state, openness FROM v UNION
 
 @query(_VAD + 'SELECT user_id, start, "end", round(openness, 6) AS openness FROM v')
 def vad_segments(spark: SparkSession, d: str) -> DataFrame:
-    return energy.voiced(frame(spark, d, ["rms"]), _KEY).select("user_id", "start", "end", F.round("openness", 6).alias("openness"))
+    return _voiced(spark, d).select("user_id", "start", "end", F.round("openness", 6).alias("openness"))
 
 
 def _filled(spark: SparkSession, d: str) -> DataFrame:
-    return energy.filled(energy.voiced(frame(spark, d, ["rms"]), _KEY), _KEY)
+    return energy.filled(_voiced(spark, d), _KEY)
 
 
 @query(_VAD + 'SELECT user_id, start, "end", state, round(openness, 6) AS openness FROM filled')
@@ -70,12 +74,13 @@ def open_ratio(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d).groupBy("user_id").agg(F.round(opened / F.count(F.lit(1)), 3).alias("open_ratio"), F.round(share, 6).alias("open_time"), ((share > 0.95) | (opened == 0)).alias("need_vad"))
 
 
-@query(_VAD + """SELECT v.user_id, v.start, count(*) AS n_frames, round(avg(f.rms), 6) AS mean_rms, max(f.rms) AS max_rms FROM v JOIN frame f ON f.user_id = v.user_id AND f.idx >= v.start AND f.idx < v."end" GROUP BY v.user_id, v.start""")
+@query(_VAD + """SELECT v.user_id, v.start, count(*) AS n_frames, CAST(sum(CAST(round(f.rms * 100) AS BIGINT)) * 10000 // count(*) AS BIGINT) AS mean_micro, max(f.rms) AS max_rms FROM v JOIN frame f ON f.user_id = v.user_id AND f.idx >= v.start AND f.idx < v."end" GROUP BY v.user_id, v.start""")
 def state_openness_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and greatest energy of the frames in each state segment, by a binned range join."""
+    """Mean (in millionths, from whole hundredths) and greatest energy of the frames in each state segment, by a binned
+    range join."""
     rows = frame(spark, d, ["rms"])
-    inside = points_in_spans(rows.select("user_id", "idx", "rms"), energy.voiced(rows, _KEY).select("user_id", "start", "end"), _KEY, "idx", "start", "end", 1024)
-    return inside.groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.avg("rms"), 6).alias("mean_rms"), F.max("rms").alias("max_rms"))
+    inside = points_in_spans(rows.select("user_id", "idx", "rms"), _voiced(spark, d).select("user_id", "start", "end"), _KEY, "idx", "start", "end", 1024)
+    return inside.groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("n_frames"), F.expr("sum(cast(round(rms * 100) as bigint)) * 10000 div count(1)").alias("mean_micro"), F.max("rms").alias("max_rms"))
 
 
 @query(f"""WITH {FRAME}, t AS (SELECT user_id, greatest(quantile_cont(rms, 0.2) * 1.2, max(rms) * 0.08) AS thr, count(*) AS n FROM frame GROUP BY user_id),
