@@ -24,7 +24,8 @@ from segmenta.llm.bpe import TOKENIZER, Encoder, encoder
 LIMIT, OVERLAP = 2_048, 64
 KINDS = ("character", "word", "sentence", "line", "paragraph")
 #: A place where a sentence, line or paragraph begins: what precedes it, white space included.
-_BREAKS = regex.compile(r"\n[^\S\n]*\n\s*|\n\s*|[.!?…।][\"'”’»)\]]*\s+|[。！？．｡][”’」』）】]*\s*")
+_LINE = "\n\r\v\f\x85\u2028\u2029"
+_BREAKS = regex.compile(rf"(?<![^\S{_LINE}])(?:\n[^\S\n]*+\n|\u2029|\r\n[^\S\n]*+\r\n)\s*|[{_LINE}]\s*|[.!?…।][\"'”’»)\]]*\s+|[。！？．｡][”’」』）】]*\s*")
 
 
 class Boundaries:
@@ -35,7 +36,7 @@ class Boundaries:
         breaks = {}
         for m in _BREAKS.finditer(text):
             g = m.group()
-            breaks[m.end()] = 4 if g.count("\n") > 1 else 3 if "\n" in g else 2
+            breaks[m.end()] = 4 if g.count("\n") > 1 or "\u2029" in g else 3 if any(c in g for c in _LINE) else 2
         spans = [m.span() for m in enc.words.finditer(text)]
         rows = enc.rows_of([text[a:b] for a, b in spans])
         at = 0
@@ -61,13 +62,18 @@ class Boundaries:
         self.place, self.tokens, self.strength = [*place, len(text)], [*tokens, at], [*strength, 4]
 
     def snap(self, low: int, aim: float, high: int, reach: float) -> int:
-        """Index of the strongest boundary within reach of the aim, the nearest of equals, between two indices."""
-        a = max(low + 1, bisect_left(self.tokens, aim - reach))
-        b = min(high, bisect_right(self.tokens, aim + reach))
-        if a >= b:
-            nearest = bisect_left(self.tokens, aim)
-            return min(max(low + 1, nearest), high)
-        return max(range(a, b), key=lambda i: (self.strength[i], -abs(self.tokens[i] - aim)))
+        """Index of the strongest boundary within reach of the aim, the nearest of equals, between two indices. Where no
+        sentence, line or paragraph begins within reach, twice and three times as far is looked for one."""
+        first = None
+        for far in (reach, 2 * reach, 3 * reach):
+            a = max(low + 1, bisect_left(self.tokens, aim - far))
+            b = min(high, bisect_right(self.tokens, aim + far))
+            if a < b:
+                best = max(range(a, b), key=lambda i: (self.strength[i], -abs(self.tokens[i] - aim)))
+                if self.strength[best] > 1:
+                    return best
+                first = best if first is None else first
+        return first if first is not None else min(max(low + 1, bisect_left(self.tokens, aim)), high)
 
     def earlier(self, at: int, shared: int) -> int:
         """Where a piece begins so that it shares at most `shared` tokens with the one that ends at `at`."""
