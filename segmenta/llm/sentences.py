@@ -21,6 +21,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from segmenta.llm import debris as D
 
 SAMPLE = 20_000
+#: The score that the words on both sides of a gap without mark and white space need.
+SURE = 0.7
 # Abbreviations, without their last full stop; the second list may also end a sentence.
 ABBREVIATIONS = set(
     "approx fig figs no nos p pp vol vols ver vs ch chap cf ca env ex ed eds e.g i.e viz resp dept est mr mrs ms dr prof rev hon st jr sr gen col sgt capt lt gov sen rep jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun "
@@ -108,6 +111,13 @@ class Model:
         return math.log((self.first.get(word, 0) + 0.3) / (self.seen.get(word, 0) - self.first.get(word, 0) + 1.0))
 
 
+    @cached_property
+    def meeting(self) -> re.Pattern | None:
+        """A word that mostly ends sentences before one that mostly opens them; no other gap of a run is a boundary."""
+        ends, opens = [w for w in self.last if self.final(w) > SURE], [w for w in self.first if self.opening(w) > SURE]
+        return re.compile(f"(?:{'|'.join(map(re.escape, ends))})(?:{'|'.join(map(re.escape, opens))})") if ends and opens else None
+
+
 def fit(texts: list[str]) -> Model:
     """A dictionary of the runs' frequent substrings whose parts cohere, and the places of its words in sentences."""
     runs: Counter[str] = Counter()
@@ -214,7 +224,7 @@ def _ends(text: str, m: regex.Match, lower: bool) -> bool:
 
 def cuts(text: str, model: Model) -> list[int]:
     """Where the sentences after the first begin."""
-    if not _FAST.search(text):
+    if not _FAST.search(text) and not _RUN.search(text):
         return []
     spans: list[tuple[int, int]] = [m.span() for m in _INSIDE.finditer(text)] if any(c in text for c in _OPENERS) else []
     lower = text == text.lower()
@@ -237,11 +247,12 @@ def cuts(text: str, model: Model) -> list[int]:
         if good and m.end() < len(text):
             found.append(m.end())
     for run in _RUN.finditer(text):
-        if run.end() - run.start() > 24:
+        # cut into words only where some two words could meet
+        if model.meeting is not None and model.meeting.search(run.group()):
             words, at = model.cut(run.group()), run.start()
             for a, b in zip(words, words[1:], strict=False):
                 at += len(a)
-                if model.final(a) + model.opening(b) - 2.0 > 0 and model.final(a) > 0.7 and model.opening(b) > 0.7 and not any(x < at < y for x, y in spans):
+                if model.final(a) + model.opening(b) - 2.0 > 0 and model.final(a) > SURE and model.opening(b) > SURE and not any(x < at < y for x, y in spans):
                     found.append(at)
     if not found:
         return found

@@ -64,6 +64,14 @@ def test_gaps_of_spaceless_scripts():
     assert sentences.cuts(text, model) == [9]
 
 
+def test_gaps_of_short_runs_without_marks():
+    """Two sentences that run together are cut, however short the run is and whether or not the text has end marks."""
+    model = sentences.Model({"走": -3.0, "了": -3.0, "我": -3.0, "好": -3.0}, {"走": 9, "了": 9, "我": 9, "好": 9}, {"了": 8}, {"我": 8})
+    assert sentences.cuts("走了我好", model) == [2]
+    assert sentences.cuts("好。走了我好", model) == [2, 4]
+    assert sentences.cuts("走好我了", model) == []
+
+
 def test_word_lattice_takes_the_likeliest_words():
     model = sentences.Model({"a": -5.0, "b": -5.0, "ab": -3.0, "c": -5.0, "bc": -9.0}, longest=2)
     assert model.cut("abc") == ["ab", "c"]
