@@ -234,6 +234,6 @@ def trained(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
     names = spark.read.parquet(f"{sf_dir}/lang_names.parquet")
     share = min(1.0, sample / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("trans_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    rows = rows.select(F.left("translated_text", F.lit(2_000)).alias("t"), code(F.col("target_lang"), names).alias("l")).where("t is not null and l is not null")
+    rows = rows.select(F.col("translated_text").alias("t"), code(F.col("target_lang"), names).alias("l")).where("t is not null and l is not null")
     got = sorted((r.t, r.l) for r in rows.collect())
     return fit([t for t, _ in got], [x for _, x in got])

@@ -6,8 +6,7 @@ or number, after a conjunction or filler (a pause), or before a continuation. Sp
 dictionary lattice (Viterbi over word frequencies); a gap between words without an end mark is a boundary when the word
 before it mostly ends sentences and the word after it mostly opens them, with white space in its favour.
 
-The dictionary and the counts of final and opening words are fitted on the driver from at most about SAMPLE texts, chosen
-by a hash; that bound is a parameter.
+The dictionary and the counts of final and opening words are fitted over all texts that differ, by distributed aggregates.
 
 Defined results: null, empty and blank texts give no row; a redelivered text counts once; units without words (labels,
 time stamps, fillers, annotations) join the sentence before, or the first one at the start.
@@ -19,7 +18,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -30,7 +29,9 @@ from pyspark.sql import functions as F
 
 from segmenta.llm import debris as D
 
-SAMPLE = 20_000
+#: Words have at most LONGEST letters, are there LEAST times and for more than LEAST_SHARE of all letters, and COHERE times
+#: as often as their parts would meet by chance.
+LONGEST, LEAST, LEAST_SHARE, COHERE = 6, 5, 1e-6, 30
 #: The score that the words on both sides of a gap without mark and white space need.
 SURE = 0.7
 # Abbreviations, without their last full stop; the second list may also end a sentence.
@@ -69,6 +70,8 @@ _LAST_WORD = regex.compile(rf"(?:(?![{_CJK}])[\p{{L}}\p{{M}}\p{{N}}.'’°º\-])
 _FILLER = regex.compile(f"(?i)(?:{D.FILLER}|{D.CJK_FILLER}|(?:那个|这个)$)$")
 _WORDS = regex.compile(r"[\p{L}\p{N}]")
 _DEBRIS = regex.compile(f"(?i){D.TIME}|{D.SOUND}|^\\s*{D.BARE_TIME}|^\\s*\\[?{D.LABEL}\\]?\\s*[:：\\-–]?|{D.FILLER}|{D.CJK_FILLER}")
+#: What ends a sentence for certain.
+ENDS = r"[。！？!?…\r\n]+"
 _RUN = re.compile(rf"[{_CJK}]+")
 _LETTER = re.compile(rf"[{_CJK}]")
 
@@ -118,41 +121,95 @@ class Model:
         return re.compile(f"(?:{'|'.join(map(re.escape, ends))})(?:{'|'.join(map(re.escape, opens))})") if ends and opens else None
 
 
-def fit(texts: list[str]) -> Model:
-    """A dictionary of the runs' frequent substrings whose parts cohere, and the places of its words in sentences."""
-    runs: Counter[str] = Counter()
-    sentences: list[list[str]] = []
-    for t in texts:
-        for s in re.split(r"[。！？!?…\r\n]+", t):
-            parts = [p for p in _RUN.findall(s)]
-            if parts:
-                sentences.append(parts)
-                runs.update(parts)
+def _grams(runs: Iterable[tuple[str, int]]) -> Counter[str]:
+    """How often runs of letters, each so many times there, have each substring of up to LONGEST letters."""
     grams: Counter[str] = Counter()
-    for run, n in runs.items():
-        for k in range(1, 7):
+    for run, n in runs:
+        for k in range(1, LONGEST + 1):
             for i in range(len(run) - k + 1):
                 grams[run[i : i + k]] += n
+    return grams
+
+
+def _dictionary(kept: dict[str, int]) -> Model:
+    size = sum(kept.values()) or 1
+    return Model({g: math.log(n / size) for g, n in sorted(kept.items())}, longest=max([1, *map(len, kept)]))
+
+
+def _places(runs: Iterable[tuple[str, int, int, int]], model: Model) -> tuple[Counter[str], Counter[str], Counter[str]]:
+    """How often words are seen, seen last and seen first, of runs with how often each is there, ends and opens sentences."""
+    seen: Counter[str] = Counter()
+    last: Counter[str] = Counter()
+    first: Counter[str] = Counter()
+    for run, n, ends, opens in runs:
+        words = model.cut(run)
+        for w in words:
+            seen[w] += n
+        if ends:
+            last[words[-1]] += ends
+        if opens:
+            first[words[0]] += opens
+    return seen, last, first
+
+
+def fit(texts: list[str]) -> Model:
+    """A dictionary of the runs' frequent substrings whose parts cohere, and the places of its words in sentences."""
+    runs: dict[str, list[int]] = {}
+    for t in texts:
+        for s in re.split(ENDS, t):
+            parts = _RUN.findall(s)
+            for i, p in enumerate(parts):
+                at = runs.setdefault(p, [0, 0, 0])
+                at[0] += 1
+                at[1] += i == len(parts) - 1
+                at[2] += i == 0
+    grams = _grams((p, n) for p, (n, _, _) in runs.items())
     total = max(1, sum(n for g, n in grams.items() if len(g) == 1))
     kept = {}
     for g, n in grams.items():
         if len(g) == 1:
             kept[g] = n
-        elif n >= 5 and all(n * total > 30 * grams[g[:k]] * grams[g[k:]] for k in range(1, len(g))):
+        elif n >= LEAST and n > LEAST_SHARE * total and all(n * total > COHERE * grams[g[:k]] * grams[g[k:]] for k in range(1, len(g))):
             kept[g] = n
-    size = sum(kept.values()) or 1
-    model = Model({g: math.log(n / size) for g, n in kept.items()}, longest=max([1, *map(len, kept)]))
-    seen: Counter[str] = Counter()
-    last: Counter[str] = Counter()
-    first: Counter[str] = Counter()
-    known: dict[str, list[str]] = {}
-    for parts in sentences:
-        cut = [known.get(p) or known.setdefault(p, model.cut(p)) for p in parts]
-        for words in cut:
-            seen.update(words)
-        last[cut[-1][-1]] += 1
-        first[cut[0][0]] += 1
-    model.seen, model.last, model.first = dict(seen), dict(last), dict(first)
+    model = _dictionary(kept)
+    model.seen, model.last, model.first = map(dict, _places(((p, *at) for p, at in runs.items()), model))
+    return model
+
+
+def fitted(rows: DataFrame) -> Model:
+    """The same as fit() over all rows (text), whole texts that differ: counts are summed by distributed aggregates. Only
+    words come to the driver, at most LONGEST / LEAST_SHARE and the letters, however many texts there are."""
+    spaceless = rows.where(F.col("text").rlike(_RUN.pattern)).select("text").distinct()
+    parts = spaceless.select(F.explode(F.split("text", ENDS)).alias("s")).select(F.expr(f"regexp_extract_all(s, '{_RUN.pattern}', 0)").alias("p"))
+    each = parts.select(F.size("p").alias("m"), F.posexplode("p").alias("i", "run"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    runs = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), one(F.col("i") == F.col("m") - 1).alias("ends"), one(F.col("i") == 0).alias("opens"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = _grams(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["g", "n"])
+
+    grams = runs.select("run", "n").mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    total = max(1, each.agg(F.sum(F.length("run"))).first()[0] or 0)
+    often = grams.where((F.length("g") == 1) | (F.col("n") >= LEAST) & (F.col("n") > LEAST_SHARE * total))
+    # parts of a frequent substring are at least as frequent
+    halves = often.where(F.length("g") > 1).select("g", "n", F.explode(F.sequence(F.lit(1), F.length("g") - 1)).alias("k"))
+    halves = halves.select("g", "n", F.expr("left(g, k)").alias("a"), F.expr("substring(g, k + 1)").alias("b"))
+    part = lambda c: often.select(F.col("g").alias(c), F.col("n").cast("double").alias(f"n_{c}"))
+    whole = F.min(F.col("n") * F.lit(float(total)) > COHERE * F.col("n_a") * F.col("n_b"))
+    coherent = halves.join(part("a"), "a").join(part("b"), "b").groupBy("g").agg(F.first("n").alias("n"), whole.alias("whole")).where("whole").select("g", "n")
+    model = _dictionary({r.g: r.n for r in often.where(F.length("g") == 1).unionByName(coherent).collect()})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, last, first = _places(zip(*(c.to_pylist() for c in batch.columns), strict=True), model)
+            words = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (seen, last, first))], names=["w", "seen", "last", "first"])
+
+    places = runs.select("run", "n", "ends", "opens").mapInArrow(place, "w string, seen bigint, last bigint, first bigint").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("seen", "last", "first")))
+    got = sorted(tuple(r) for r in places.collect())
+    model.seen, model.last, model.first = ({x[0]: x[k] for x in got if x[k]} for k in (1, 2, 3))
     return model
 
 
@@ -290,12 +347,9 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asr.unionByName(spark.read.parquet(f"{sf_dir}/gold_segments.parquet").select(F.lit("seg").alias("origin"), F.col("seg_id").alias("record_id"), "text"))
 
 
-def trained(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
-    """Fitted on about `sample` texts of spaceless scripts at most."""
-    rows = spark.read.parquet(f"{sf_dir}/asr_results.parquet").unionByName(spark.read.parquet(f"{sf_dir}/gold_segments.parquet").select("text"), allowMissingColumns=True).select("text")
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).where(F.col("text").rlike(r"[぀-ヿ㐀-鿿]"))
-    return fit(sorted(r.t for r in rows.select(F.left("text", F.lit(2_000)).alias("t")).distinct().collect()))
+def trained(spark: SparkSession, sf_dir: str) -> Model:
+    """Fitted on all texts."""
+    return fitted(texts(spark, sf_dir).select("text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,28 @@ def test_gaps_of_short_runs_without_marks():
     assert sentences.cuts("走好我了", model) == []
 
 
+def test_sentence_model_counts_all_texts(spark, data, tmp_path):
+    """Fitted by Spark over whole texts as on the driver; a word counts even if it stands only after 2,000 letters."""
+    late = ["x" * 2500 + f"。鱷魚{a}。" for a in "一二三四五六"]
+    for name in ("asr_results", "gold_segments"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = spark.read.parquet(f"{data}/gold_segments.parquet")
+    rows.limit(6).drop("text").join(spark.createDataFrame([(t,) for t in late], "text string")).select(rows.columns).write.mode("append").parquet(f"{tmp_path}/gold_segments.parquet")
+    model = sentences.trained(spark, str(tmp_path))
+    want = sentences.fit(sorted({r.text for r in sentences.texts(spark, str(tmp_path)).where("text is not null").collect()}))
+    assert "鱷魚" in model.words and model.first["鱷魚"] == 6
+    assert model.words.keys() == want.words.keys() and all(abs(model.words[w] - p) < 1e-9 for w, p in want.words.items())
+    assert (model.seen, model.last, model.first, model.longest) == (want.seen, want.last, want.first, want.longest)
+
+
+def test_language_model_reads_whole_texts(spark, tmp_path):
+    row = "trans_id bigint, translated_text string, target_lang string"
+    spark.createDataFrame([(i, "!" * 2500 + " words of a language", "en") for i in range(4)] + [(9, "Wörter einer Sprache", "de")], row).write.parquet(f"{tmp_path}/translations.parquet")
+    spark.createDataFrame([("en", "en"), ("de", "de")], "notation string, lang string").write.parquet(f"{tmp_path}/lang_names.parquet")
+    model = langid.trained(spark, str(tmp_path))
+    assert "en" in [model.langs[int(x.argmax())] for x in model.scores(["words of a language"]) if x.max() > 0]
+
+
 def test_word_lattice_takes_the_likeliest_words():
     model = sentences.Model({"a": -5.0, "b": -5.0, "ab": -3.0, "c": -5.0, "bc": -9.0}, longest=2)
     assert model.cut("abc") == ["ab", "c"]
