@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from segmenta.llm.langid import code
 
-#: Scripts of a salted group, rounds of expectation-maximization, and the least link that is kept.
-GROUP_SCRIPTS, ROUNDS, LEAST_LINK = 4_000, 5, 0.02
+#: Scripts of a salted group, rounds of expectation-maximization, and the least expected count over all groups and the least
+#: link that are kept.
+GROUP_SCRIPTS, ROUNDS, LEAST_COUNT, LEAST_LINK = 4_000, 5, 0.01, 0.02
 #: The score that a pair needs in order, out of order, and to join a clause that is paired already.
 PAIRED, MOVED, JOINED = 0.3, 0.45, 0.6
 #: Clauses of a source block, beyond which a document is aligned block by block, with a margin on the target's side.
@@ -147,7 +148,7 @@ def expected_counts(pairs: Iterable[tuple[list[str], list[str]]], rounds: int =
         count = np.bincount(where, weights=share, minlength=len(key))
         p = count / np.bincount(kx, weights=count)[kx]
     na, nb = list(ia), list(ib)
-    return {(na[k // len(ib)], nb[k % len(ib)]): float(v) for k, v in zip(key.tolist(), count.tolist(), strict=True) if v > 1e-2 and k >= len(ib)}
+    return {(na[k // len(ib)], nb[k % len(ib)]): float(v) for k, v in zip(key.tolist(), count.tolist(), strict=True) if v > 0 and k >= len(ib)}
 
 
 class Lexicon:
@@ -230,17 +231,22 @@ def _table(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
 
 
 def _once(rows: list[dict]) -> list[dict]:
-    """One delivery of each script, in the order of their ids; memory rows have none and all count."""
-    seen: dict[object, dict] = {}
-    for r in rows:
-        seen.setdefault(r["script_id"] if r["script_id"] is not None else (r["src"] or [""])[0], r)
-    return [seen[k] for k in sorted(seen, key=str)]
+    """One delivery of each script and of each memory row, in the order of their ids; memory rows without id all count."""
+    seen: dict[tuple, dict] = {}
+    for k, r in enumerate(sorted(rows, key=lambda r: (str(r["src"]), str(r["tgt"]), r["turned"]))):
+        if r["script_id"] is not None:
+            seen.setdefault(("script", r["script_id"]), r)
+        else:
+            at = r.get("trans_id")
+            seen.setdefault(("memory", at) if at is not None else ("other", k), r)
+    return [seen[k] for k in sorted(seen)]
 
 
 def salted(rows: DataFrame, group: int) -> DataFrame:
     """Adds salt: enough of them that a language pair's groups have about `group` rows."""
     many = rows.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
-    return rows.join(many, "pair").withColumn("salt", F.pmod(F.xxhash64(F.coalesce(F.col("script_id").cast("string"), F.col("src")[0])), F.col("salts")).cast("int"))
+    own = [F.col(c).cast("string") for c in ("script_id", "trans_id") if c in rows.columns]
+    return rows.join(many, "pair").withColumn("salt", F.pmod(F.xxhash64(F.coalesce(*own, F.col("src")[0])), F.col("salts")).cast("int"))
 
 
 def links(training: DataFrame) -> DataFrame:
@@ -270,7 +276,8 @@ def links(training: DataFrame) -> DataFrame:
         return _table(out, [pa.string()] * 3 + [pa.float64()], ["pair", "a", "b", "n"])
 
     counts = training.groupBy("pair", "salt").applyInArrow(train, "pair string, a string, b string, n double")
-    total = counts.groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
+    # evidence spread thinly over many groups counts like that of one: only sums are pruned
+    total = counts.groupBy("pair", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > LEAST_COUNT)
     # windows instead of joins with sums, so that the training stands in the plan once
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     share = lambda c: F.when(both, F.col("n") / F.sum(F.when(both, F.col("n"))).over(W.partitionBy("pair", c))).otherwise(F.col("n"))
@@ -327,10 +334,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = spark.read.parquet(f"{sf_dir}/bilingual_scripts.parquet").where("script_id is not null")
     lang = lambda c: F.coalesce(code(F.col(c), names), F.col(c))
     scripts = scripts.select("script_id", kept("source_segments").alias("src"), kept("target_segments").alias("tgt"), place("source_segments").alias("src_idx"), place("target_segments").alias("tgt_idx"), lang("source_lang").alias("source_lang"), lang("target_lang").alias("target_lang"))
-    memory = spark.read.parquet(f"{sf_dir}/translations.parquet").select(F.lit(None).cast("bigint").alias("script_id"), F.array("source_text").alias("src"), F.array("translated_text").alias("tgt"), code(F.col("source_lang"), names).alias("source_lang"), code(F.col("target_lang"), names).alias("target_lang"))
+    memory = spark.read.parquet(f"{sf_dir}/translations.parquet").select(F.lit(None).cast("bigint").alias("script_id"), "trans_id", F.array("source_text").alias("src"), F.array("translated_text").alias("tgt"), code(F.col("source_lang"), names).alias("source_lang"), code(F.col("target_lang"), names).alias("target_lang"))
     memory = memory.where("source_lang is not null and target_lang is not null and source_lang <> target_lang")
     own = _paired(scripts)
-    training = own.select("script_id", "src", "tgt", "pair", "turned").unionByName(_paired(memory))
+    training = own.select("script_id", F.lit(None).cast("bigint").alias("trans_id"), "src", "tgt", "pair", "turned").unionByName(_paired(memory))
     return pairs(salted(own, GROUP_SCRIPTS), links(salted(training, 2 * GROUP_SCRIPTS)))
 
 

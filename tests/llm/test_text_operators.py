@@ -173,6 +173,27 @@ def test_expectation_maximization_finds_translations():
     assert best == {"das": "the", "haus": "house", "buch": "book", "ein": "a"}
 
 
+def test_thin_evidence_of_many_groups_adds_up(spark, monkeypatch):
+    """A word pair that each group expects less often than the least count stays when its sum over the groups is more."""
+    texts = [("haus", "house")] * 40 + [("haus tür", "house door")]
+    thin = bilingual.expected_counts([(a.split(), b.split()) for a, b in texts])["haus", "door"]
+    assert 0 < 4 * thin < bilingual.LEAST_COUNT  # far below what a group once had to have
+    monkeypatch.setattr(bilingual, "LEAST_COUNT", 2 * thin)
+    monkeypatch.setattr(bilingual, "LEAST_LINK", 0.0)
+    rows = [(None, 100 * g + i, [a], [b], "x-y", False, g) for g in range(4) for i, (a, b) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "script_id bigint, trans_id bigint, src array<string>, tgt array<string>, pair string, turned boolean, salt int")
+    found = lambda d: bilingual.links(d).where("a = 'haus' and b = 'door'").count()
+    assert (found(df.where("salt = 0")), found(df)) == (0, 1)
+
+
+def test_memory_rows_count_once_by_id_in_fixed_order():
+    row = lambda i, t, s=None: {"script_id": s, "trans_id": i, "src": ["same source"], "tgt": [t], "turned": False}
+    rows = [row(1, "first"), row(2, "second"), row(2, "second"), row(None, "third"), row(None, "none", 7), row(None, "none", 7)]
+    want = [("first", 1), ("second", 2), ("third", None), ("none", None)]
+    for k in range(6):
+        assert [(r["tgt"][0], r["trans_id"]) for r in bilingual._once(rows[k:] + rows[:k])] == want
+
+
 def test_alignment_with_merge_omission_and_move(spark):
     """A made-up language of known words: every link is known."""
     rng = random.Random(4)
