@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from segmenta.llm.langid import code
 GROUP_SCRIPTS, ROUNDS, LEAST_COUNT, LEAST_LINK = 4_000, 5, 0.01, 0.02
 #: The score that a pair needs in order, out of order, and to join a clause that is paired already.
 PAIRED, MOVED, JOINED = 0.3, 0.45, 0.6
-#: Clauses of a source block, beyond which a document is aligned block by block, with a margin on the target's side.
-BLOCK, MARGIN = 1_500, 300
+#: Half the clauses of a document beyond which it is aligned row by row, which needs less memory and gives the same pairs.
+BLOCK = 1_500
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[㐀-鿿぀-ヿ]+|[ऀ-႟]+|[^\W\d_぀-ヿ㐀-鿿ऀ-႟]+")
 _CUT = re.compile(r"[,，、;；](?!\d)|[。！？।!?…]|\.(?!\w)")
@@ -78,28 +78,21 @@ def by_length(a: list[list[str]], b: list[list[str]]) -> list[tuple[int, int]]:
     """One-to-one pairs of clauses by length alone that stand in a run of three at least, or in short documents."""
     if not a or not b:
         return []
-    if max(len(a), len(b)) > 2 * BLOCK:
-        return sorted({(i + p, j + q) for p, r, q, s in _blocks(len(a), len(b)) for i, j in by_length(a[p:r], b[q:s])})
     la, lb = np.array([size(x) for x in a]), np.array([size(x) for x in b])
     ratio = lb.sum() / la.sum()
-    off = np.abs(np.log((lb[None, :] + 4) / (la[:, None] * ratio + 4)))
-    gain = 0.8 - off
-    best = _path(gain, 0.0)
+    off = lambda i, j: np.abs(np.log((lb[j] + 4) / (la[i] * ratio + 4)))
+    if max(len(a), len(b)) > 2 * BLOCK:
+        best = _path_by_rows(lambda i: 0.8 - off(i, slice(None)), len(a), len(b))
+    else:
+        best = _path(0.8 - off((slice(None), None), (None, slice(None))), 0.0)
     kept = []
     for x, (i, j) in enumerate(best):
         near = sum((i + d, j + d) in best[max(0, x - 2) : x + 3] for d in (-1, 1))
-        if off[i, j] < 0.5 and (near == 2 or (near and len(best) < 4) or len(a) == len(b) == 1):
+        if off(i, j) < 0.5 and (near == 2 or (near and len(best) < 4) or len(a) == len(b) == 1):
             kept.append((i, j))
     return kept
 
 
-def _blocks(n: int, m: int) -> list[tuple[int, int, int, int]]:
-    """Blocks of a long document: a stretch of the source and the stretch of the target where it should be."""
-    k = -(-max(n, m) // BLOCK)
-    cut = lambda x, i: x * i // k
-    return [(cut(n, i), cut(n, i + 1), max(0, cut(m, i) - MARGIN), min(m, cut(m, i + 1) + MARGIN)) for i in range(k) if cut(n, i + 1) > cut(n, i)]
-
-
 def _path(gain: np.ndarray, gap: float) -> list[tuple[int, int]]:
     """The monotone one-to-one pairs with the greatest sum of gains; a clause left out costs `gap`."""
     n, m = gain.shape
@@ -121,6 +114,39 @@ def _path(gain: np.ndarray, gap: float) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _path_by_rows(gain: Callable[[int], np.ndarray], n: int, m: int) -> list[tuple[int, int]]:
+    """_path without gaps' costs over rows of gains that are asked for as needed. Every step-th row of sums is kept and the
+    rows between are made again on the way back, so memory grows with m times the root of n."""
+    step = max(1, math.isqrt(n))
+
+    def onward(before: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.concatenate([[0.0], np.maximum(before[1:], before[:-1] + g)]))
+
+    kept = [np.zeros(m + 1)]
+    last = kept[0]
+    for i in range(n - n % step if n % step else n - step):
+        last = onward(last, gain(i))
+        if (i + 1) % step == 0:
+            kept.append(last)
+    out, j = [], m
+    for k in reversed(range(len(kept))):
+        gains = [gain(i) for i in range(k * step, min(n, (k + 1) * step))]
+        total = [kept[k]]
+        for g in gains:
+            total.append(onward(total[-1], g))
+        i = len(gains)
+        while i and j:
+            g = gains[i - 1][j - 1]
+            if g > 0 and abs(total[i][j] - (total[i - 1][j - 1] + g)) < 1e-9:
+                out.append((k * step + i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif abs(total[i][j] - total[i - 1][j]) < 1e-9:
+                i -= 1
+            else:
+                j -= 1
+    return out[::-1]
+
+
 def expected_counts(pairs: Iterable[tuple[list[str], list[str]]], rounds: int = ROUNDS) -> dict[tuple[str, str], float]:
     """Expected counts of word pairs by expectation-maximization: each word of b comes from a word of a or from none."""
     ia: dict[str, int] = {"": 0}
@@ -181,6 +207,36 @@ class Lexicon:
         of_b = np.add.reduceat(got_b * wb[None, :], sb, axis=1) / np.add.reduceat(wb, sb)[None, :]
         return of_a, of_b
 
+    def rows(self, a: list[list[str]], b: list[list[str]]) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+        """The rows of scores(), each when it is asked for, in memory that grows with the text alone."""
+        where: dict[str, list[int]] = {}
+        for j, c in enumerate(b):
+            for t in c:
+                where.setdefault(t, []).append(j)
+        place = {t: np.array(js) for t, js in where.items()}
+        wb = {t: self.weight(t, self.wb) for t in where}
+        whole = np.array([sum(wb[t] for t in c) for c in b])
+
+        def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+            of_a, of_b, weights = np.zeros(len(b)), np.zeros(len(b)), 0.0
+            back: dict[str, float] = {}
+            for t in a[i]:
+                known = {u: x for u, x in self.links.get(t, {}).items() if u in place}
+                if t in place and not _SPACELESS.match(t):
+                    known[t] = (1.0, 1.0)
+                w = self.weight(t, self.wa)
+                weights += w
+                got = np.zeros(len(b))
+                for u, (v, r) in known.items():
+                    got[place[u]] += v
+                    back[u] = back.get(u, 0.0) + r
+                of_a += np.minimum(1.0, got) * w
+            for u, r in back.items():
+                of_b[place[u]] += min(1.0, r) * wb[u]
+            return of_a / weights, of_b / whole
+
+        return row
+
     def weight(self, t: str, known: dict[str, float]) -> float:
         return (known.get(t, self.unseen) + 0.2) * (0.5 if _SPACELESS.match(t) else 1.0)
 
@@ -189,10 +245,7 @@ def align(source: list[str | None], target: list[str | None], lexicon: Lexicon)
     """Places of source and target segments that translate each other."""
     a, oa = clauses(source)
     b, ob = clauses(target)
-    if max(len(a), len(b)) > 2 * BLOCK:
-        found = {(i + p, j + q) for p, r, q, s in _blocks(len(a), len(b)) for i, j in _aligned(a[p:r], b[q:s], lexicon)}
-    else:
-        found = set(_aligned(a, b, lexicon))
+    found = (_aligned_by_rows if max(len(a), len(b)) > 2 * BLOCK else _aligned)(a, b, lexicon)
     return sorted({(oa[i], ob[j]) for i, j in found})
 
 
@@ -225,6 +278,53 @@ def _aligned(a: list[list[str]], b: list[list[str]], lexicon: Lexicon) -> list[t
     return found
 
 
+def _aligned_by_rows(a: list[list[str]], b: list[list[str]], lexicon: Lexicon) -> list[tuple[int, int]]:
+    """The same pairs as _aligned, without holding all scores at once; leftovers of the whole document meet."""
+    if not a or not b:
+        return []
+    row = lexicon.rows(a, b)
+
+    def score(i: int) -> np.ndarray:
+        of_a, of_b = row(i)
+        return np.sqrt(of_a * of_b)
+
+    found = _path_by_rows(lambda i: score(i) - PAIRED, len(a), len(b))
+    free_a, free_b = set(range(len(a))) - {i for i, _ in found}, set(range(len(b))) - {j for _, j in found}
+    left = np.array(sorted(free_b), dtype=np.int64)
+    far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in sorted(free_a) if len(left) else []:
+        s = score(i)[left]
+        good = s >= MOVED
+        js = left[good]
+        far.append((s[good] - 0.2 * np.abs(i / len(a) - js / len(b)), np.full(len(js), i), js))
+    if far:
+        near, x, y = (np.concatenate(c) for c in zip(*far, strict=True))
+        for k in np.lexsort((y, x, -near)):
+            i, j = int(x[k]), int(y[k])
+            if i in free_a and j in free_b:
+                found.append((i, j))
+                free_a.discard(i)
+                free_b.discard(j)
+    whole_a, whole_b = {j: i for i, j in found}, dict(found)
+    left = np.array(sorted(free_b), dtype=np.int64)
+    most, at = np.full(len(left), -1.0), np.zeros(len(left), dtype=np.int64)
+    for i in range(len(a)) if len(left) else []:
+        of_b = row(i)[1][left]
+        at[of_b > most] = i
+        most = np.maximum(most, of_b)
+    for j, i, v in zip(left.tolist(), at.tolist(), most.tolist(), strict=True):
+        if v >= JOINED:
+            of_a = row(i)[0]
+            if (i not in whole_b or of_a[whole_b[i]] + of_a[j] < 1.25) and of_a[j] > 0.25:
+                found.append((i, j))
+    for i in sorted(free_a):
+        of_a, of_b = row(i)
+        j = int(of_a.argmax())
+        if of_a[j] >= JOINED and (j not in whole_a or row(whole_a[j])[1][j] + of_b[j] < 1.25) and of_b[j] > 0.25:
+            found.append((i, j))
+    return found
+
+
 def _table(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

@@ -289,3 +289,23 @@ def test_long_documents_are_aligned_by_blocks():
     assert bilingual._aligned(a[:40], a[:40], lexicon) == [(i, i) for i in range(40)]
     out = bilingual.align([f"wort{i}x." for i in range(5000)], [f"wort{i}x." for i in range(5000)], lexicon)
     assert out == [(i, i) for i in range(5000)]
+
+
+def test_long_documents_lose_no_clauses():
+    """A target without the source's first quarter, and a clause that moved from one end to the other."""
+    lexicon = bilingual.Lexicon({}, {}, {}, 1.0)
+    src = [f"wort{i}x." for i in range(4000)]
+    assert bilingual.align(src, src[1000:], lexicon) == [(i, i - 1000) for i in range(1000, 4000)]
+    assert bilingual.align(src, [*src[1:], src[0]], lexicon) == [(0, 3999)] + [(i, i - 1) for i in range(1, 4000)]
+    sized = [["x" * (1 + 7 * i % 31)] for i in range(4000)]
+    assert set(bilingual.by_length(sized, sized)) >= {(i, i) for i in range(1, 3999)}
+
+
+def test_rows_give_the_same_pairs_as_whole_matrices():
+    rng = random.Random(3)
+    for _ in range(60):
+        va, vb = [f"a{i}" for i in range(12)] + ["n"], [f"b{i}" for i in range(12)] + ["n"]
+        links = {x: {y: (rng.random(), rng.random()) for y in rng.sample(vb, 3)} for x in va}
+        lexicon = bilingual.Lexicon(links, {x: rng.random() for x in va}, {y: rng.random() for y in vb}, 1.0)
+        a, b = ([rng.sample(v, rng.randint(1, 4)) for _ in range(rng.randint(1, 25))] for v in (va, vb))
+        assert sorted(bilingual._aligned_by_rows(a, b, lexicon)) == sorted(bilingual._aligned(a, b, lexicon))
