@@ -99,8 +99,9 @@ def is_refusal(text: str, source: str) -> bool:
     """It declines and speaks of the task in the same sentence, which the source doesn't."""
 
     def declines(t: str) -> bool:
+        t = t.replace("’", "'")
         low = t.casefold()
-        return any(x in low for x in _DECLINING) and bool(_CANNOT.search(t)) and any(_CANNOT.search(s) and _TASK.search(s) for s in _SENTENCE.split(t.replace("’", "'")))
+        return any(x in low for x in _DECLINING) and bool(_CANNOT.search(t)) and any(_CANNOT.search(s) and _TASK.search(s) for s in _SENTENCE.split(t))
 
     return declines(text) and not declines(source)
 

@@ -130,6 +130,12 @@ def test_defects(source, text, defect):
     assert _defect(source, text) == defect
 
 
+@pytest.mark.parametrize("text", ["I’m sorry, but I can’t translate this text.", "I won’t be able to translate this.", "It isn’t possible to render this text."])
+def test_refusals_with_typographic_apostrophes(text):
+    assert pairs.is_refusal(text, "画面很好。")
+    assert not pairs.is_refusal(text, text)
+
+
 def test_lookalikes_do_not_depend_on_what_was_written():
     counts = {("Latin", a, b): 50 for a, b in zip("^some^hope", "some^hope^", strict=True)} | {("Cyrillic", a, b): 50 for a, b in zip("^сон^мир", "сон^мир^", strict=True)}
     f = lookalikes.Former(counts)
