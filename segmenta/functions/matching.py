@@ -43,18 +43,22 @@ def overlap(text: str | None, prompt: str | None) -> float:
     return low / len(t) if low >= 2 else 0.0
 
 
-def hallucinated(text: str | None, prompt: str | None, banned: tuple[str, ...] = (), most: float = 0.45) -> tuple[bool, float, str]:
-    """Does a transcript repeat its prompt? With the score and the first reason that holds."""
+# Phrases that recognisers are known to invent.
+BANNED = ("讨论科技、气候、河流与历史", "讨论科技、气候、河流", "科技、气候、河流与历史")
+
+
+def hallucinated(text: str | None, prompt: str | None, banned: tuple[str, ...] = BANNED, most: float = 0.45) -> tuple[bool, float, str]:
+    """Does a transcript hold a banned phrase, repeat its prompt, or repeat itself in the prompt's words? With the score and
+    the first reason that holds."""
     t, p = bare(text), bare(prompt)
-    if any(bare(b) and bare(b) in t for b in banned):
-        return True, 1.0, "banned"
+    if (said := next((b for b in banned if bare(b) and bare(b) in t), None)) is not None:
+        return True, 1.0, f"banned:{said[:24]}"
     share = overlap(text, prompt)
     if p and share >= most:
         return True, share, "prompt_overlap"
-    if p and len(t) >= 12:
-        for n in (8, 6, 4):
-            if n / len(t) > 0.25 and any(t.count(p[i : i + n]) >= 2 for i in range(len(p) - n + 1)):
-                return True, 0.9, "repeat"
+    parts = (p[i : i + n] for n in (8, 6, 4) if n * 4 > len(t) for i in range(len(p) - n + 1)) if len(t) >= 12 else ()
+    if (said := next((x for x in parts if t.count(x) >= 2), None)) is not None:
+        return True, 0.9, f"repeat:{said}"
     return False, share, "ok"
 
 

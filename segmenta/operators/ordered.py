@@ -73,3 +73,10 @@ def neighbourhood(rows: DataFrame, keys: list[str], idx: str, before: int, after
     copies = F.concat(copies, F.when(at < after, F.array(F.struct((b - 1).alias("block"), F.lit(True).alias("halo")))).otherwise(F.array()))
     out = rows.select("*", F.inline(copies))
     return out, W.partitionBy(*keys, "block").orderBy(idx)
+
+
+def beside(rows: DataFrame, dim: DataFrame, keys: list[str], shard: str, how: str = "left") -> DataFrame:
+    """Rows with the columns of `dim`, which has one row per key. A hot key isn't sent to one task: dim meets the occupied
+    shards, of which there are few, and rows join by (key, shard). `how` is left or inner."""
+    cells = rows.select(*keys, shard).distinct().join(dim, keys)
+    return rows.join(cells, [*keys, shard], how)

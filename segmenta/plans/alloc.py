@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from segmenta.functions import labels as E
+from segmenta.functions import phonemes as P
 from segmenta.functions import text as X
+from segmenta.operators.ordered import beside
 from segmenta.plans.base import SEG, bucket, bucket_sql, seg
 from segmenta.plans.frames import _SPLIT, _split
 from segmenta.plans.segments import _GROUPS, _groups
@@ -75,39 +78,74 @@ def time_cut_split(spark: SparkSession, d: str) -> DataFrame:
     return seg(spark, d).where("end_ms - start_ms >= 900").select("seg_id", F.posexplode(parts).alias("part", "text"))
 
 
-# Openness of vowel letters; every other letter has 0.2.
-OPENNESS = {"a": 0.9, "e": 0.6, "o": 0.65, "i": 0.35, "u": 0.4, "y": 0.35, "á": 0.9, "é": 0.6, "а": 0.9, "о": 0.65}
-_OPEN = "CASE c " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in OPENNESS.items()) + " ELSE 2e-1 END"
-_PHON = f"""WITH {SEG}, c0 AS (SELECT seg_id, start_ms, end_ms, string_split(regexp_replace(lower(text), '[ \t]+', '', 'g'), '') AS cs FROM seg WHERE text <> ''),
-c1 AS (SELECT seg_id, start_ms, end_ms, unnest(cs) AS c, unnest(range(len(cs))) AS pos FROM c0),
-c2 AS (SELECT *, {_OPEN} AS o FROM c1 WHERE c <> ''),
-c3 AS (SELECT *, CAST(50 + round(o * 100) AS BIGINT) AS wt FROM c2),
-ph AS (SELECT seg_id, pos, c, o, CAST(start_ms + (end_ms - start_ms) * coalesce(sum(wt) OVER w, 0) // sum(wt) OVER (PARTITION BY seg_id) AS BIGINT) AS at_ms FROM c3 WINDOW w AS (PARTITION BY seg_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+_LANG = "rl AS (SELECT rec_id, gold_lang FROM recordings)"
+_FINAL = "nullif(regexp_extract(lower({b}), '^[bpmfdtnlgkhjqxzcsrwy]*(a|o|e|i|u|v|ai|ei|ao|ou|an|en|ang|eng|ong|ia|ie|iu|ian|in|iang|ing|iong|ua|uo|uai|ui|uan|un|uang|ueng|ve|vn|van)$', 1), '')"
+_PHON = f"""WITH {SEG}, {_LANG}, c0 AS (SELECT seg_id, start_ms, end_ms, CASE WHEN gold_lang IN ('zh', 'zho', 'chi', 'cmn') THEN list_filter(string_split(replace(text, ' ', ''), ''), lambda c: c <> '')
+  WHEN gold_lang IN ('en', 'eng', 'english') THEN list_filter(string_split_regex(lower(text), '[\\s\\x{{00a0}}\\x{{3000}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}]+'), lambda w: w <> '') ELSE list_filter(string_split(text, ''), lambda c: c <> '') END AS ps FROM seg LEFT JOIN rl USING (rec_id) WHERE text <> ''),
+c1 AS (SELECT seg_id, start_ms, end_ms, unnest(ps) AS ph, unnest(range(len(ps))) AS pos FROM c0),
+c2 AS (SELECT *, regexp_replace(trim(ph, ' '), '[0-9]+$', '') AS b FROM c1), c3 AS (SELECT *, {_FINAL.format(b='b')} AS f, lower(b) AS low, upper(b) AS up FROM c2),
+c4 AS (SELECT *, CASE WHEN f IN ('a', 'ai', 'ao', 'an', 'ang', 'ia', 'ua', 'uai', 'uan', 'uang') THEN 75 WHEN f IN ('o', 'e', 'uo', 'ou', 'ong', 'en', 'eng') THEN 55 WHEN f IS NOT NULL THEN 45
+  WHEN up IN ('AA', 'AE', 'AO', 'AW', 'AY') THEN 80 WHEN up IN ('EH', 'AH', 'ER', 'OW', 'OY') THEN 55 WHEN up IN ('EY', 'IH', 'IY', 'UH', 'UW') THEN 25
+  WHEN ph IN ('a', 'ɶ', 'ɑ', 'ɒ', 'æ', 'ɐ') OR low IN ('a', 'ɶ', 'ɑ', 'ɒ', 'æ', 'ɐ') THEN 85 WHEN low IN ('ɛ', 'œ', 'ɜ', 'ɞ', 'ʌ', 'ɔ', 'ə') THEN 50
+  WHEN low IN ('i', 'y', 'ɨ', 'ʉ', 'ɯ', 'u', 'ɪ', 'ʏ', 'ʊ') THEN 15 WHEN low IN ('p', 'b', 't', 'd', 'k', 'g', 'ʔ') THEN 10 WHEN low IN ('m', 'n', 'ɲ', 'ŋ', 'f', 'v', 'θ', 'ð', 's', 'z', 'ʃ', 'ʒ', 'h') THEN 40 ELSE 50 END AS o FROM c3),
+phon AS (SELECT *, CAST(start_ms + (end_ms - start_ms) * coalesce(sum(50 + o) OVER w, 0) // sum(50 + o) OVER (PARTITION BY seg_id) AS BIGINT) AS at_ms FROM c4 WINDOW w AS (PARTITION BY seg_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """
 
 
+def _phones(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with their phonemes, by the language of their recording."""
+    lang = table(spark, d, "recordings").where("rec_id is not null").select("rec_id", "gold_lang")
+    return beside(seg(spark, d).where("text <> ''"), lang, ["rec_id"], "shard").withColumn("phonemes", P.of_text(F.col("text"), F.col("gold_lang")))
+
+
 def _phonemes(spark: SparkSession, d: str) -> DataFrame:
-    """Letters as phonemes with an openness, timed in whole milliseconds by cumulative weights of half plus openness."""
-    letters = F.split(F.regexp_replace(F.lower("text"), "[ \t]+", ""), "")
-    rows = seg(spark, d).where("text <> ''").select("seg_id", "start_ms", "end_ms", F.posexplode(letters).alias("pos", "c")).where("c <> ''")
-    table = F.create_map(*[F.lit(x) for kv in OPENNESS.items() for x in kv])
-    rows = rows.withColumn("o", F.coalesce(table[F.col("c")], F.lit(0.2)))
+    """Phonemes with their openness, timed in whole milliseconds by cumulative weights of half plus openness."""
+    rows = _phones(spark, d).select("seg_id", "start_ms", "end_ms", F.posexplode("phonemes").alias("pos", "phoneme"))
+    rows = rows.withColumn("o", P.openness(F.col("phoneme")))
     own = W.partitionBy("seg_id")
     before = own.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("wt", (50 + F.round(F.col("o") * 100)).cast("bigint"))
+    rows = rows.withColumn("wt", (50 + F.round(F.col("o.openness") * 100)).cast("bigint"))
     rows = rows.withColumn("done", F.coalesce(F.sum("wt").over(before), F.lit(0))).withColumn("total", F.sum("wt").over(own))
-    return rows.select("seg_id", "pos", "c", "o", F.expr("start_ms + (end_ms - start_ms) * done div total").alias("at_ms"))
+    return rows.select("seg_id", "pos", "phoneme", F.col("o.class").alias("class"), F.col("o.openness").alias("openness"), F.expr("start_ms + (end_ms - start_ms) * done div total").alias("at_ms"))
 
 
-@query(_PHON + "SELECT seg_id, CAST(pos AS INT) AS pos, c, o AS openness, at_ms FROM ph")
+@query(f"{_PHON[:_PHON.index('c1 AS')].rstrip().rstrip(',')} SELECT seg_id, ps AS phonemes FROM c0")
+def char_phonemes(spark: SparkSession, d: str) -> DataFrame:
+    """What stands for a pronunciation dictionary: the letters of a text, in English its words."""
+    return _phones(spark, d).select("seg_id", "phonemes")
+
+
+@query(_PHON + "SELECT seg_id, CAST(pos AS INT) AS pos, ph AS phoneme, o / 100.0 AS openness, at_ms FROM phon")
 def phoneme_weights_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return _phonemes(spark, d).select("seg_id", "pos", "c", F.col("o").alias("openness"), "at_ms")
+    return _phonemes(spark, d).select("seg_id", "pos", "phoneme", "openness", "at_ms")
+
+
+_DISTINCT = _PHON + ", k AS (SELECT DISTINCT ph, b, f, o, low, up FROM c4)"
 
 
-@query(_PHON + "SELECT seg_id, CAST(pos AS INT) AS pos, c, at_ms, o > 0.55 AND c IN ('a', 'á', 'а', 'o', 'о') AS is_core FROM ph WHERE o > 0.2e0")
+@query(_DISTINCT + "SELECT ph AS phoneme, b AS bare, f AS final, CASE WHEN o IN (75, 80, 85) THEN 'open' WHEN o IN (10, 15, 25) THEN 'closed' ELSE 'mid' END AS class, o / 100.0 AS openness FROM k")
+def phoneme_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each different phoneme of the segments: without tone, its pinyin final, its class and openness."""
+    rows = _phones(spark, d).select(F.explode("phonemes").alias("phoneme")).distinct()
+    p = F.col("phoneme")
+    return rows.select("phoneme", P.bare(p).alias("bare"), P.final(p).alias("final"), P.openness(p)["class"].alias("class"), P.openness(p)["openness"].alias("openness"))
+
+
+_VOWEL = """ f IS NOT NULL OR up IN ('AA', 'AE', 'AH', 'AO', 'AW', 'AY', 'EH', 'ER', 'EY', 'IH', 'IY', 'OW', 'OY', 'UH', 'UW') OR low IN ('i', 'y', 'ɨ', 'ʉ', 'ɯ', 'u', 'ɪ', 'ʏ', 'ʊ', 'e', 'ø', 'ɘ', 'ɵ', 'ɤ', 'o', 'ə', 'ɛ', 'œ', 'ɜ', 'ɞ', 'ʌ', 'ɔ', 'æ', 'ɐ', 'a', 'ɶ', 'ɑ', 'ɒ')"""
+
+
+@query(_PHON + f"SELECT seg_id, CAST(pos AS INT) AS pos, ph AS phoneme, at_ms, CASE WHEN f IN ('a', 'ao', 'ang', 'ia', 'ua', 'ai') OR up IN ('AA', 'AE', 'AO') THEN greatest(o, 55) ELSE o END / 100.0 AS openness, CASE WHEN f IN ('a', 'ao', 'ang', 'ia', 'ua', 'ai') OR up IN ('AA', 'AE', 'AO') THEN greatest(o, 55) ELSE o END > 45 AS is_core FROM phon WHERE {_VOWEL}")
 def vowel_points(spark: SparkSession, d: str) -> DataFrame:
-    core = (F.col("o") > 0.55) & F.col("c").isin("a", "á", "а", "o", "о")
-    return _phonemes(spark, d).where("o > 0.2D").select("seg_id", "pos", "c", "at_ms", core.alias("is_core"))
+    """Vowels in time, those that mouths are seen to open for as core."""
+    p = F.col("phoneme")
+    rows = _phonemes(spark, d).where(P.is_vowel(p)).withColumn("openness", P.vowel_openness(p))
+    return rows.select("seg_id", "pos", "phoneme", "at_ms", "openness", (F.col("openness") > P.CORE_OVER).alias("is_core"))
+
+
+@query(_PHON + "SELECT seg_id, CAST(pos AS INT) AS pos, ph AS phoneme, at_ms FROM phon WHERE ph IN ('p', 'b', 't', 'd', 'k', 'g', 'ʔ', 'æ', 'ɐ', 'a', 'ɶ', 'ɑ', 'ɒ')")
+def phoneme_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Starts of plosives and open vowels, as written: the last branch of sync points."""
+    return _phonemes(spark, d).where(P.is_border(F.col("phoneme"))).select("seg_id", "pos", "phoneme", "at_ms")
 
 
 @query(f"""WITH {SEG}, s AS (SELECT seg_id, start_ms, end_ms, greatest(1, length(replace(text, ' ', ''))) AS n, replace(text, ' ', '') AS t FROM seg WHERE text <> '')
@@ -121,12 +159,6 @@ def syllable_timing(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seg_id", "i", "char", F.expr("start_ms + i * (end_ms - start_ms) div n").alias("start_ms"), F.lower("char").isin("a", "e", "o").alias("is_open"))
 
 
-@query(f"WITH {SEG} SELECT seg_id, list_filter(string_split(lower(text), ''), lambda c: c <> '' AND c <> ' ') AS phonemes FROM seg WHERE length(text) BETWEEN 1 AND 60")
-def char_phonemes(spark: SparkSession, d: str) -> DataFrame:
-    """The fallback of a pronunciation dictionary: the letters of a text. A report on short texts."""
-    return seg(spark, d).where("length(text) between 1 and 60").select("seg_id", F.filter(F.split(F.lower("text"), ""), lambda c: (c != "") & (c != " ")).alias("phonemes"))
-
-
 @query(f"""WITH {_SPLIT}, s AS (SELECT timeline_id, start_ms, end_ms, row_number() OVER (PARTITION BY timeline_id ORDER BY start_ms, end_ms, openness) AS i, sum(end_ms - start_ms) OVER (PARTITION BY timeline_id) AS total FROM cls WHERE kind = 'speech'),
 q AS (SELECT *, greatest(1, 40 * (end_ms - start_ms) // total) AS req FROM s), c AS (SELECT *, sum(req) OVER (PARTITION BY timeline_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS cum FROM q)
 SELECT timeline_id, i, CAST(least(40, cum) - least(40, cum - req) AS BIGINT) AS n_phonemes FROM c""")
@@ -201,30 +233,13 @@ def duration_plan(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d).select("rec_id", "grp", source.alias("source_ms"), spoken.alias("spoken_ms"), (F.abs(spoken - source) > 0.05 * source).alias("stretch"), F.round(planned, 3).alias("planned_ms"), tokens.cast("bigint").alias("tokens"))
 
 
-# Valence and arousal, and half tones and rate, of each emotion.
-VALENCE = {"happy": (0.8, 0.7), "sad": (-0.7, 0.3), "angry": (-0.6, 0.9), "fearful": (-0.7, 0.8), "surprised": (0.3, 0.8), "disgusted": (-0.7, 0.5), "neutral": (0.0, 0.5)}
-PROSODY = {"happy": (1.0, 1.05), "sad": (-1.0, 0.93), "angry": (0.6, 1.06), "fearful": (0.8, 1.04), "surprised": (1.2, 1.03), "disgusted": (-0.5, 0.97)}
-
-
-def _case(c: str, table: dict, i: int, other: float) -> str:
-    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v[i]}e0" for k, v in table.items()) + f" ELSE {other}e0 END"
-
-
-def _look(c, table: dict, i: int, other: float):
-    return F.coalesce(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v[i])])[c], F.lit(other))
-
-
-_NORM = "CASE WHEN e = '' THEN 'neutral' " + " ".join(f"WHEN contains(e, '{p}') THEN '{n}'" for p, n in (("hap", "happy"), ("sad", "sad"), ("ang", "angry"), ("fea", "fearful"), ("disg", "disgusted"), ("surp", "surprised"))) + " ELSE 'neutral' END"
-_EMO = f"WITH {SEG}, x AS (SELECT rec_id, idx, label_confidence, emotion, trim(lower(coalesce(regexp_extract(emotion, '^[^/|,;]*'), '')), ' ') AS e FROM seg), n AS (SELECT *, {_NORM} AS label FROM x)"
+_NAMES = "MAP {'happy': 'happy', 'happiness': 'happy', 'joy': 'happy', 'hap': 'happy', 'sad': 'sad', 'sadness': 'sad', 'angry': 'angry', 'anger': 'angry', 'ang': 'angry', 'fearful': 'fearful', 'fear': 'fearful', 'fea': 'fearful', 'disgusted': 'disgusted', 'disgust': 'disgusted', 'disg': 'disgusted', 'surprised': 'surprised', 'surprise': 'surprised', 'surp': 'surprised', 'neutral': 'neutral', 'calm': 'neutral', 'neu': 'neutral'}"
+_NORM = f"coalesce({_NAMES}[e], CASE WHEN contains(e, 'hap') THEN 'happy' WHEN contains(e, 'sad') THEN 'sad' WHEN contains(e, 'ang') THEN 'angry' WHEN contains(e, 'fea') THEN 'fearful' WHEN contains(e, 'disg') THEN 'disgusted' WHEN contains(e, 'surp') THEN 'surprised' ELSE 'neutral' END)"
+_EMO = f"WITH {SEG}, x AS (SELECT rec_id, idx, label_confidence, emotion, coalesce(nullif(lower(trim(regexp_extract(trim(emotion, ' '), '^[^/|,;]*'), ' ')), ''), 'neutral') AS e FROM seg), n AS (SELECT *, {_NORM} AS label FROM x)"
 
 
 def _emotions(spark: SparkSession, d: str) -> DataFrame:
-    """The first of several labels, trimmed, in lower case, by the first syllable that it holds; neutral otherwise."""
-    e = F.trim(F.lower(F.coalesce(F.regexp_extract("emotion", "^[^/|,;]*", 0), F.lit(""))))
-    label = F.when(e == "", "neutral")
-    for part, name in (("hap", "happy"), ("sad", "sad"), ("ang", "angry"), ("fea", "fearful"), ("disg", "disgusted"), ("surp", "surprised")):
-        label = label.when(F.contains(e, F.lit(part)), name)
-    return seg(spark, d, ["start_ms"]).withColumn("label", label.otherwise("neutral"))
+    return seg(spark, d, ["start_ms"]).withColumn("label", E.category(E.coerced(F.col("emotion"))))
 
 
 @query(_EMO + " SELECT rec_id, idx, label FROM n")
@@ -232,10 +247,32 @@ def emotion_norm(spark: SparkSession, d: str) -> DataFrame:
     return _emotions(spark, d).select("rec_id", "idx", "label")
 
 
-@query(_EMO + f" SELECT rec_id, idx, {_case('label', VALENCE, 0, 0.0)} AS valence, {_case('label', VALENCE, 1, 0.5)} AS arousal, round(CASE WHEN coalesce(label_confidence, 0) > 0 THEN least(label_confidence / 0.8e0, 1e0) ELSE 0.5e0 END, 6) AS intensity FROM n")
+@query(_EMO + """ SELECT rec_id, idx, CASE label WHEN 'happy' THEN 8e-1 WHEN 'sad' THEN -7e-1 WHEN 'angry' THEN -5e-1 WHEN 'surprised' THEN 4e-1 WHEN 'fearful' THEN -6e-1 WHEN 'disgusted' THEN -7e-1 ELSE 0e0 END AS valence,
+ CASE label WHEN 'neutral' THEN 3e-1 WHEN 'happy' THEN 7e-1 WHEN 'sad' THEN 2e-1 WHEN 'angry' THEN 9e-1 WHEN 'surprised' THEN 8e-1 WHEN 'fearful' THEN 8e-1 ELSE 5e-1 END AS arousal,
+ round(CASE WHEN coalesce(label_confidence, 0) > 0 THEN least(label_confidence / 0.8e0, 1e0) ELSE 0.5e0 END, 6) AS intensity FROM n""")
 def emotion_va(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("label_confidence")
-    return _emotions(spark, d).select("rec_id", "idx", _look(F.col("label"), VALENCE, 0, 0.0).alias("valence"), _look(F.col("label"), VALENCE, 1, 0.5).alias("arousal"), F.round(F.when(F.coalesce(c, F.lit(0.0)) > 0, F.least(c / 0.8, F.lit(1.0))).otherwise(0.5), 6).alias("intensity"))
+    at = lambda i, other: E.looked_up(F.col("label"), {k: v[i] for k, v in E.VALENCE_AROUSAL.items()}, other)
+    intensity = F.when(F.coalesce(c, F.lit(0.0)) > 0, F.least(c / 0.8, F.lit(1.0))).otherwise(0.5)
+    return _emotions(spark, d).select("rec_id", "idx", at(0, 0.0).alias("valence"), at(1, 0.5).alias("arousal"), F.round(intensity, 6).alias("intensity"))
+
+
+@query(_EMO + """, c AS (SELECT rec_id, idx, label, label_confidence AS p, unnest(['neutral', 'happy', 'sad', 'angry', 'surprised', 'fearful', 'disgusted']) AS category FROM n)
+ SELECT rec_id, idx, category, CASE WHEN category = label AND p IS NOT NULL THEN p ELSE 0e0 END AS score, round(CASE WHEN coalesce(p, 0) > 0 THEN least(p / 0.8e0, 1e0) ELSE 0.5e0 END, 6) AS intensity FROM c""")
+def emotion_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all categories, 0 for those that a segment has none for, and the intensity by the greatest."""
+    own = F.when(F.col("label_confidence").isNotNull(), F.create_map("label", "label_confidence"))
+    rows = _emotions(spark, d).select("rec_id", "idx", E.all_scores(own).alias("scores"))
+    return rows.select("rec_id", "idx", F.round(E.intensity(F.col("scores")), 6).alias("intensity"), F.explode("scores").alias("category", "score"))
+
+
+@query(f"WITH {SEG} SELECT rec_id, idx, coalesce(nullif(trim(regexp_extract(trim(emotion, ' '), '^[^/|,;]*'), ' '), ''), 'neutral') AS of_list, coalesce(nullif(trim(regexp_extract(trim(coalesce(nullif(emotion, ''), speaker), ' '), '^[^/|,;]*'), ' '), ''), 'neutral') AS of_map FROM seg")
+def label_coercion(spark: SparkSession, d: str) -> DataFrame:
+    """One label of a list and of a map, as models give them."""
+    rows = seg(spark, d, ["start_ms"]).withColumn("l", F.array("emotion", "speaker")).withColumn("m", F.create_map(F.lit("other"), F.col("speaker"), F.lit("emotion"), F.col("emotion")))
+    kinds = rows.schema
+    of_map = F.when(F.col("emotion").isNull(), E.coerced(F.map_filter("m", lambda k, v: v.isNotNull()), kinds["m"].dataType)).otherwise(E.coerced(F.col("m"), kinds["m"].dataType))
+    return rows.select("rec_id", "idx", E.coerced(F.col("l"), kinds["l"].dataType).alias("of_list"), of_map.alias("of_map"))
 
 
 @query(f"WITH {SEG} SELECT {bucket_sql('emotion')} AS bucket, speaker, count(*) AS n FROM seg GROUP BY 1, 2")
@@ -243,7 +280,13 @@ def emotion_bucket(spark: SparkSession, d: str) -> DataFrame:
     return seg(spark, d).groupBy(bucket(F.col("emotion")).alias("bucket"), "speaker").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_EMO + f" SELECT rec_id, idx, {_case('label', PROSODY, 0, 0.0)} AS half_tones, {_case('label', PROSODY, 1, 1.0)} AS rate, abs({_case('label', PROSODY, 0, 0.0)}) >= 0.3 OR abs({_case('label', PROSODY, 1, 1.0)} - 1) >= 0.02 AS applies FROM n")
+@query(_EMO + f""", p AS (SELECT rec_id, idx, label AS feeling FROM n UNION ALL SELECT rec_id, idx, {bucket_sql('emotion')} FROM n),
+q AS (SELECT *, CASE feeling WHEN 'happy' THEN 1e0 WHEN 'surprised' THEN 1.5e0 WHEN 'positive' THEN 0.8e0 WHEN 'sad' THEN -1.2e0 WHEN 'negative' THEN -1e0 WHEN 'angry' THEN 1.8e0 WHEN 'fearful' THEN 0.8e0 WHEN 'disgusted' THEN 0.5e0 ELSE 0e0 END AS half_tones,
+ CASE feeling WHEN 'happy' THEN 1.04e0 WHEN 'surprised' THEN 1.05e0 WHEN 'positive' THEN 1.03e0 WHEN 'sad' THEN 0.96e0 WHEN 'negative' THEN 0.97e0 WHEN 'angry' THEN 1.06e0 WHEN 'fearful' THEN 1.04e0 ELSE 1e0 END AS rate FROM p)
+ SELECT rec_id, idx, feeling, half_tones, rate, abs(half_tones) >= 0.3e0 AS shifts, abs(rate - 1) >= 0.02e0 AS stretches FROM q""")
 def prosody_params(spark: SparkSession, d: str) -> DataFrame:
-    half, rate = _look(F.col("label"), PROSODY, 0, 0.0), _look(F.col("label"), PROSODY, 1, 1.0)
-    return _emotions(spark, d).select("rec_id", "idx", half.alias("half_tones"), rate.alias("rate"), ((F.abs(half) >= 0.3) | (F.abs(rate - 1) >= 0.02)).alias("applies"))
+    """By how much speech of each label, and of its bucket, is shifted and stretched."""
+    at = lambda i, other: E.looked_up(F.col("feeling"), {k: v[i] for k, v in E.PROSODY.items()}, other)
+    rows = _emotions(spark, d).select("rec_id", "idx", F.explode(F.array("label", bucket(F.col("emotion")))).alias("feeling"))
+    rows = rows.withColumn("half_tones", at(0, 0.0)).withColumn("rate", at(1, 1.0))
+    return rows.select("*", (F.abs("half_tones") >= 0.3).alias("shifts"), (F.abs(F.col("rate") - 1) >= 0.02).alias("stretches"))

@@ -12,8 +12,8 @@ from segmenta.functions import matching as M
 from segmenta.operators import folds, vectors as V
 from segmenta.operators.diarize import diarize
 from segmenta.operators.long_segments import split_long
+from segmenta.plans import fold_sql
 from segmenta.plans.base import MEMO, frame, memo, seg
-from segmenta.plans.texts import HANGING_EN, HANGING_ZH, OPENING
 from segmenta.sources.tables import latest, table
 
 QUERIES, SQL = {}, {}
@@ -98,7 +98,7 @@ def _grouped(spark: SparkSession, d: str, how: Callable) -> DataFrame:
     return V.per_group(rows, ["label", "part"], "vec_id", "embedding", how)
 
 
-@query()
+@query(fold_sql.GREEDY_CLUSTER)
 def greedy_cluster(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d, V.greedy)
 
@@ -108,7 +108,7 @@ def avg_link_cluster(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d, V.average_linkage)
 
 
-@query()
+@query(fold_sql.FARTHEST_SPLIT)
 def farthest_split(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d, V.farthest_split)
 
@@ -131,45 +131,22 @@ def long_segment_split(spark: SparkSession, d: str) -> DataFrame:
     return split_long(rows, "seg")
 
 
-@query()
+@query(fold_sql.CRUMB_GLUE)
 def crumb_glue(spark: SparkSession, d: str) -> DataFrame:
     return folds.crumb_glue(seg(spark, d))
 
 
-def _python_pattern(p: str):
-    import re
-
-    return re.compile(p)
-
-
-def merger() -> Callable[[list[dict]], list[dict]]:
-    """The phrase fold with this catalogue's patterns of open ends and starts."""
-    en, zh, opening = HANGING_EN, HANGING_ZH, OPENING
-
-    def ends_open(t: str) -> bool:
-        t = t.strip().rstrip(",，、;；")
-        n = sum("一" <= c <= "鿿" for c in t)
-        return bool(t) and t[-1] not in ".!?。！？…" and bool(_python_pattern(en).search(t) or _python_pattern(zh).search(t) or 0 < n <= 4)
-
-    def starts_open(t: str) -> bool:
-        t = t.strip().lstrip(",，、;；")
-        n = sum("一" <= c <= "鿿" for c in t)
-        return bool(t) and not _python_pattern(opening).match(t) and (t[0].islower() or 0 < n <= 8)
-
-    return folds.phrase_merger(ends_open, starts_open)
-
-
-@query()
+@query(fold_sql.PHRASE_MERGE)
 def phrase_merge(spark: SparkSession, d: str) -> DataFrame:
-    return folds.phrase_merge(seg(spark, d), merger())
+    return folds.phrase_merge(seg(spark, d))
 
 
-@query()
+@query(fold_sql.SHORT_FRAGMENT_MERGE)
 def short_fragment_merge(spark: SparkSession, d: str) -> DataFrame:
     return folds.short_fragment_merge(seg(spark, d))
 
 
-@query()
+@query(fold_sql.TEXT_CHUNKS)
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(folds.text_chunks(F.col("text"))).alias("chunk", "text"))
     return rows
@@ -195,7 +172,7 @@ def _hinted_rows(spark: SparkSession, d: str, column: str) -> DataFrame:
     return asr.join(rec, "rec_id").select("asr_id", "text", column)
 
 
-@query()
+@query(fold_sql.PROMPT_OVERLAP)
 def prompt_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Does a recognised text repeat its recording's note?"""
     return _compared(_hinted_rows(spark, d, "note"), M.hallucinated, "asr_id bigint, flagged boolean, score double, reason string", [pa.bool_(), pa.float64(), pa.string()])
@@ -206,7 +183,7 @@ def fuzzy_hint(spark: SparkSession, d: str) -> DataFrame:
     return _compared(_hinted_rows(spark, d, "lyrics_hint"), M.hinted, "asr_id bigint, text string", [pa.string()])
 
 
-@query()
+@query(fold_sql.WER_PAIRS)
 def wer_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = memo(spark, d).select("trans_id", "source_text", "translated_text")
     return _compared(rows, M.word_error_rate, "trans_id bigint, wer double", [pa.float64()])

@@ -222,16 +222,16 @@ def asof_previous_nonblank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {SEG}, p AS (SELECT rec_id, idx, text AS a, lead(text) OVER (PARTITION BY rec_id ORDER BY idx) AS b0 FROM seg),
-q AS (SELECT rec_id, idx, a, regexp_replace(b0, '^[,，、;；][ \t]*', '') AS b FROM p WHERE b0 IS NOT NULL)
-SELECT rec_id, idx, CASE WHEN a = '' THEN b WHEN b = '' THEN a
+q AS (SELECT rec_id, idx, trim(a, ' ') AS a, trim(b0, ' ') AS raw, regexp_replace(trim(b0, ' '), '^[,，、;；]\\s*', '') AS b FROM p WHERE b0 IS NOT NULL)
+SELECT rec_id, idx, CASE WHEN a = '' THEN raw WHEN raw = '' THEN a
  WHEN length(regexp_replace(a, '[^一-鿿]', '', 'g')) >= greatest(1, length(a) // 3) OR length(regexp_replace(b, '[^一-鿿]', '', 'g')) >= greatest(1, length(b) // 3) THEN a || b
- WHEN regexp_matches(a, '[A-Za-z0-9]$') AND regexp_matches(b, '^[A-Za-z0-9]') THEN a || ' ' || b ELSE a || b END AS joined FROM q""")
+ WHEN regexp_matches(a, '[\\p{{L}}\\p{{N}}]$') AND regexp_matches(b, '^[\\p{{L}}\\p{{N}}]') THEN a || ' ' || b ELSE a || b END AS joined FROM q""")
 def smart_join(spark: SparkSession, d: str) -> DataFrame:
     """A segment and the next one as one text: Han text without space, Latin words with one, no doubled mark between."""
     from segmenta.functions.text import smart_join as join
 
     rows = seg(spark, d, ["text"]).where("next is not null")
-    return rows.select("rec_id", "idx", join(F.col("text"), F.regexp_replace(F.col("next.text"), "^[,，、;；][ \t]*", "")).alias("joined"))
+    return rows.select("rec_id", "idx", join(F.col("text"), F.col("next.text")).alias("joined"))
 
 
 @query(f"WITH {SEG} SELECT rec_id, idx, CAST(coalesce(try_cast(nullif(regexp_replace(speaker, '[^0-9]', '', 'g'), '') AS BIGINT), 0) % 4 AS BIGINT) AS slot, ['voice_a', 'voice_b', 'voice_c', 'voice_d'][CAST(coalesce(try_cast(nullif(regexp_replace(speaker, '[^0-9]', '', 'g'), '') AS BIGINT), 0) % 4 AS BIGINT) + 1] AS voice FROM seg")

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmenta import models, pipeline, sinks
-from segmenta.functions import matching, text as X
+from segmenta.functions import labels, matching, phonemes, phrases, rewrite, text as X
+from segmenta.functions.phrases import features
 from segmenta.operators import folds, vectors as V
 from segmenta.operators.energy import voiced
 from segmenta.operators.intervals import best_span, points_in_spans
@@ -17,7 +18,6 @@ from segmenta.operators.ordered import islands, neighbourhood, running, sequence
 from segmenta.operators.quantiles import percentiles
 from segmenta.operators.run_bitmaps import periods, periods_and_gaps
 from segmenta.operators.runs import value_runs
-from segmenta.plans.models import merger
 from segmenta.sources.tables import latest, millis
 
 
@@ -167,7 +167,7 @@ def _segs(seed):
     return out
 
 
-@pytest.mark.parametrize(("build", "fold"), [(folds.crumb_glue, folds.glued), (folds.short_fragment_merge, folds.short_merged), (lambda s: folds.phrase_merge(s, merger()), merger())])
+@pytest.mark.parametrize(("build", "fold"), [(folds.crumb_glue, folds.glued), (folds.short_fragment_merge, folds.short_merged), (folds.phrase_merge, folds.phrases)])
 def test_folds_equal_a_fold_of_the_whole_recording(spark, build, fold):
     for seed in range(3):
         segs = _segs(seed)
@@ -176,6 +176,54 @@ def test_folds_equal_a_fold_of_the_whole_recording(spark, build, fold):
         assert got == sorted((s["idx"], s["end_ms"], s["text"]) for s in fold(segs))
 
 
+def _fixpoint(segs, fits):
+    """Left folds over the row until one changes nothing."""
+    out = [dict(s, n=1) for s in segs]
+    while True:
+        new = out[:1]
+        for s in out[1:]:
+            p = new[-1]
+            if fits(p, s):
+                new[-1] = dict(p, end_ms=s["end_ms"], text=folds.joined(p["text"], s["text"]), n=p["n"] + s["n"])
+            else:
+                new.append(s)
+        if len(new) == len(out):
+            return new
+        out = new
+
+
+def test_phrases_equal_the_fixpoint():
+    as_phrase = lambda s: folds.Phrase(s["idx"], s["start_ms"], s["end_ms"], s["text"], 1, features(s["text"]))
+    for seed in range(40):
+        segs = _segs(seed)
+        want = _fixpoint(segs, lambda p, s: folds.belongs(as_phrase(p), as_phrase(s)))
+        assert [(p["idx"], p["end_ms"], p["text"], p["n"]) for p in folds.phrases(segs)] == [(p["idx"], p["end_ms"], p["text"], p["n"]) for p in want]
+    assert folds.phrases([]) == []
+
+
+def test_crumbs_equal_looking_back():
+    """For each crumb the segments before it are looked at one by one."""
+    for seed in range(40):
+        out = [dict(s) for s in _segs(seed)]
+        for i, s in enumerate(out):
+            back = next((j for j in range(i - 1, -1, -1) if out[j]["speaker"] != s["speaker"] or s["start_ms"] - out[j]["end_ms"] > 800 or out[j]["text"].strip()), None)
+            if back is not None and folds.is_crumb(s["text"]) and out[back]["speaker"] == s["speaker"] and s["start_ms"] - out[back]["end_ms"] <= 800:
+                out[back]["text"] = (out[back]["text"].rstrip() + s["text"].strip()).strip()
+                out[back]["end_ms"], s["text"] = max(out[back]["end_ms"], s["end_ms"]), ""
+        assert [(s["end_ms"], s["text"]) for s in folds.glued(_segs(seed))] == [(s["end_ms"], s["text"]) for s in out]
+
+
+@pytest.mark.parametrize(
+    ("text", "closed", "hangs", "on"),
+    [("我们先把", False, True, True), ("我們先", False, True, True), ("The line of", False, True, False), ("听感也一般，真的不太好说吧", False, False, True), ("聽感。", True, False, True), ("然后我们走", False, False, False), ("Okay then", False, False, False), ("and so on.", True, False, True), ("", False, False, False), ("再提升一下", False, False, False), ("done;", True, False, True)],
+)
+def test_open_ends(spark, text, closed, hangs, on):
+    f = features(text)
+    assert (f.closed, f.hangs, f.goes_on) == (closed, hangs, on)
+    t = F.col("t")
+    assert tuple(spark.createDataFrame([(text,)], "t string").select(phrases.closed(t), phrases.ends_open(t), phrases.goes_on(t)).first()) == (closed, hangs, on)
+
+
 def test_blank_translations_are_made_again():
     g = [("A", "a", ""), ("A", "b", ""), ("A", "c", "C"), ("A", "d", "D"), ("B", "e", ""), ("A", "f", "F")]
     out = folds.empties_retried([dict(zip(("speaker", "text", "tgt"), x, strict=True)) for x in g], str.upper)
@@ -211,7 +259,7 @@ def test_overlap_equals_all_substrings():
         t, p = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
         best = max((j - i for i in range(len(p)) for j in range(i + 2, len(p) + 1) if p[i:j] in t), default=0)
         assert matching.overlap(t, p) == (best / len(t) if t and p else 0.0)
-    assert matching.hallucinated("talk about weather talk", "talk about weather", ("weather",)) == (True, 1.0, "banned")
+    assert matching.hallucinated("talk about weather talk", "talk about weather", ("weather",)) == (True, 1.0, "banned:weather")
     assert matching.hallucinated("quite normal speech", "other words")[0] is False
 
 
@@ -268,3 +316,51 @@ def test_pipeline_and_artifacts(spark, data, tmp_path):
     for kind in ("json", "csv", "parquet"):
         sinks.write(tables["report"], str(tmp_path / kind), kind, "1")
     assert set(pipeline.run(spark, data, steps=("turns",))) == {"segments", "turns"}
+
+
+def test_corrections_in_order_and_without_white_space(spark):
+    rules = rewrite.merged_rules([("想遇个", "相遇"), ("", "x"), ("a.b", "$1")], [("想遇个", "相遇"), ("相 遇", "X")])
+    assert rules == [("想遇个", "相遇"), ("a.b", "$1"), ("相 遇", "X")]
+    cases = [("想遇个想 遇 个", "X想 遇 个"), ("想 遇\u3000个 想 遇个", "X 想 遇个"), ("a.b a. b", "$1 a. b"), ("a . b", "$1"), ("nothing", "nothing"), (None, None), ("", "")]
+    got = [r[0] for r in spark.createDataFrame([(a,) for a, _ in cases], "t string").select(rewrite.corrected(F.col("t"), rules)).collect()]
+    assert got == [b for _, b in cases]
+
+
+def test_cleaning_and_budgets(spark):
+    cases = [("I'm sorry. Translation: good", "good"), ("Sure!", ""), ('"quoted"', "quoted"), ("a ```x``` b", "a  b"), ("抱歉，翻译：好", "好")]
+    got = [r[0] for r in spark.createDataFrame([(a,) for a, _ in cases], "t string").select(rewrite.cleaned(F.col("t"))).collect()]
+    assert got == [b for _, b in cases]
+    cut = [("Well, this is really the the big piano.", 5, "en", "this is the big"), ("你好世界，再见", 2, "zh", "你好"), ("こんにちは", 3, "ja", "こんに"), ("안녕하세요", 2, "ko", "안녕"), ("tout va bien", 2, "fr", "tout va"), ("OK", 1, "en", "OK")]
+    df = spark.createDataFrame(cut, "t string, b int, l string, want string")
+    for r in df.select("want", X.within_budget(F.col("t"), F.col("b"), F.col("l")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_phrase_table_equals_all_pairs(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("天地人你我他好看") for _ in range(rng.randint(1, 26))) for _ in range(40)]
+    texts = [w[rng.randint(0, 2) : len(w) - rng.randint(0, 2)] for w in words for _ in range(4)] + words + ["x" + w + "y" for w in words]
+    table = list(dict.fromkeys(words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.dst for r in rewrite.phrase(df, ["id"], "text", spark.createDataFrame([(i, w, f"d{i}") for i, w in enumerate(table)], "ord int, src string, dst string")).collect()}
+    for i, t in enumerate(texts):
+        fit = [(p != t, -len(p), k) for k, p in enumerate(table) if t and (p == t or len(p) >= 4 and (p in t and len(p) >= 0.7 * len(t) or t in p and len(t) >= 0.7 * len(p)))]
+        assert got.get(i) == (f"d{min(fit)[2]}" if fit else None)
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("Joy", ["anger/x", "b"], {"label": "Calm"}), (" |happy", [], {"x": "fear"}), (None, None, None), ("UNhappy", [None], {"emotion": "sad", "z": "q"})], "s string, l array<string>, m map<string,string>")
+    got = [tuple(r) for r in df.select(*[labels.category(labels.coerced(F.col(c), df.schema[c].dataType)) for c in "slm"]).collect()]
+    assert got == [("happy", "angry", "neutral"), ("neutral", "neutral", "fearful"), ("neutral", "neutral", "neutral"), ("happy", "neutral", "sad")]
+    scores = spark.createDataFrame([({"happy": 0.4},), (None,)], "m map<string,double>").select(labels.all_scores(F.col("m")).alias("m"))
+    got = [(len(r.m), r.m.get("happy"), r.i) for r in scores.select("m", labels.intensity(F.col("m")).alias("i")).collect()]
+    assert got == [(7, 0.4, 0.5), (7, 0.0, 0.5)]
+
+
+def test_phonemes(spark):
+    cases = [("zhang1", "ang", "open", 0.75), ("hao3", "ao", "open", 0.75), ("AA1", None, "open", 0.8), ("EH0", "e", None, None), ("IY1", None, "closed", 0.25), ("b", None, "closed", 0.1), ("ə", None, "mid", 0.5), ("好", None, "mid", 0.5), ("æ", None, "open", 0.85), ("er2", None, "mid", 0.55), ("s", None, "mid", 0.4)]
+    df = spark.createDataFrame([(c[0],) for c in cases], "p string")
+    p = F.col("p")
+    for r, (_, final, kind, value) in zip(df.select(phonemes.final(p), phonemes.openness(p)).collect(), cases, strict=True):
+        if kind:
+            assert (r[0], r[1]["class"], r[1]["openness"]) == (final, kind, value)
