@@ -217,9 +217,27 @@ def encode_column(df: DataFrame, key: str, text: str, path: str = TOKENIZER) ->
     return df.select(key, text).mapInArrow(encode, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<bigint>")
 
 
+def decode_column(df: DataFrame, key: str, ids: str, path: str = TOKENIZER) -> DataFrame:
+    """key and text of each row's ids. Null and empty lists give an empty text."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        as_bytes = {i: b for b, i in enc.ids.items()}
+        for batch in batches:
+            texts = [b"".join(map(as_bytes.__getitem__, row or [])).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(decode, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
-SQL: dict[str, str] = {}
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids of p8_ids stand for: the documents' own."""
+    return decode_column(p8_ids(spark, sf_dir), "doc_id", "ids")
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+SQL = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -1,12 +1,13 @@
 """Filling containers of fixed capacity, and the queries of problem 9.
 
-First-fit decreasing in randomised groups: a document's group is a hash of its id, so groups are even and independent,
-and the number of groups follows the number of rows so that a group's size is bounded. In a group a tournament tree over
+First-fit decreasing in randomised groups: a row's group is a hash of its id and its place in the scan, so groups are even
+and independent however often an id or a null repeats, and the number of groups follows the number of rows so that a
+group's size is bounded. In a group a tournament tree over
 the bins' free space finds the first bin that an item fits. A text larger than the capacity is first cut by the
 splitting operator, without overlap.
 
 Defined results: null and empty texts have size 0 and share a container; every row gets a container; the containers of
-different groups are different. Documents without an id are grouped by their text.
+different groups are different. Documents without an id spread over all groups like others.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ def items(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: st
                 kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "h", "piece_no", "n_tokens"])
 
-    mark = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text))
+    # copies of an id, or rows without one, may be a third of all: their place tells them apart
+    mark = F.xxhash64(key, F.monotonically_increasing_id())
     rows = df.select(F.col(key).alias("k"), mark.alias("h"), text)
     return rows.mapInArrow(measure, f"k {df.schema[key].dataType.simpleString()}, h bigint, piece_no bigint, n_tokens bigint")
 
@@ -88,5 +90,15 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
-QUERIES = {"p9_containers": p9_containers}
-SQL: dict[str, str] = {}
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many documents and containers there are, how many containers are too full, and whether every document
+    has a place. How full they are on average is in `p9_containers`."""
+    rows = p9_containers(spark, sf_dir)
+    load = rows.groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    full = load.agg(F.count_if(F.col("load") > CAPACITY).alias("too_full"), (F.count(F.lit(1)) * CAPACITY >= F.sum("load")).alias("holds_all"))
+    return rows.groupBy(F.lit(1).alias("_k")).agg(F.countDistinct("doc_id").alias("documents"), F.count_if(F.col("n_tokens") > CAPACITY).alias("too_large")).join(full.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+QUERIES = {"p9_containers": p9_containers, "p9_fill": p9_fill}
+#: What must hold of any packing.
+SQL = {"p9_fill": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS too_large, 0::BIGINT AS too_full, CASE WHEN count(*) > 0 THEN true END AS holds_all FROM documents"}

@@ -71,8 +71,8 @@ _NOT_WORD = re.compile(r"[\W_]+")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _ASCII, _LETTERS = re.compile("[A-Za-z]"), re.compile(r"[^\W\d_]")
 _LATIN = re.compile(r"[A-Z][a-z]{3,}")
-_OPENED = re.compile("[(\\[“«「『（【]")
-_PAIRS = {"(": ")", "[": "]", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
+_OPENED = re.compile("[(\\[{“«‹„「『《〈（【｛〔\"`]")
+_PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "【": "】", "｛": "｝", "〔": "〕"}
 
 
 def core(text: str) -> str:
@@ -123,7 +123,7 @@ def is_copy(text: str, source: str) -> bool:
 
 def ending(text: str) -> str | None:
     """The last word before closing marks, the last two letters of spaceless scripts; numbers are alike."""
-    t = text.rstrip(" \t\n\r\u00a0\u3000.!?。！？।…·\"'”’»)）]】」』-–—~*_")[-100:]
+    t = text.rstrip(" \t\n\r\u00a0\u3000.!?。！？।…·\"'”’»)）]】」』-–—~*_")
     if not t:
         return None
     if t[-1].isdigit():
@@ -136,13 +136,24 @@ def ending(text: str) -> str | None:
     return t[at:].casefold() or None
 
 
+def unclosed(text: str) -> int:
+    """How many kinds of delimiters stay open: brackets and quotes that differ, German low quotes, straight quotes and code
+    fences of odd number. A straight quote after a digit is an inch."""
+    if not _OPENED.search(text):
+        return 0
+    n = sum(text.count(a) > text.count(b) for a, b in _PAIRS.items())
+    low, up, end = text.count("„"), text.count("“"), text.count("”")
+    n += low > up + end if low else up > end
+    return n + len(re.findall(r'(?<!\d)"', text)) % 2 + text.count("```") % 2
+
+
 def numbers(text: str) -> list[str]:
     """Numbers of two or more digits, which translations keep in digits, without their separators."""
     return [n for n in (re.sub(r"[.,]", "", n) for n in _NUMBER.findall(text)) if len(n) > 1]
 
 
 def is_truncated(text: str, source: str, lang: str | None, endings: dict[tuple[str, str], int], neutral: frozenset[str]) -> bool:
-    if _OPENED.search(text) and any(text.count(a) > text.count(b) and source.count(a) <= source.count(b) for a, b in _PAIRS.items()):
+    if unclosed(text) > unclosed(source):
         return True
     last = ending(text)
     if last is None or (lang is not None and (lang, last) not in endings and not _MARKED.search(text)):
@@ -196,7 +207,7 @@ def defects(df: DataFrame, model: Model, usual: dict[tuple[str, str], int]) -> D
                 if is_empty(text):
                     out.append((i, ["empty"]))
                     continue
-                same = len(text) < 80 and few_letters(core(text)) and core(source) == core(text)
+                same = few_letters(text) and few_letters(core(text)) and core(source) == core(text)
                 found = ["refusal"] * is_refusal(text, source) + ["copy"] * is_copy(text, source)
                 if lang in model.langs and score.max() >= CLAIMED and score.max() - score[model.langs.index(lang)] > CLAIM:
                     found.append("wrong_language")

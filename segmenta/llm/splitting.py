@@ -3,9 +3,11 @@
 Balanced targets: the least number of pieces is computed, cuts are aimed at equal lengths, each cut snaps to the
 strongest boundary near its aim (paragraph, line, sentence, word, and inside an oversized word a character), and a
 piece is added when any piece exceeds its limit once it is really encoded. Consecutive pieces share up to `overlap`
-tokens, from the earliest sentence start, or else word start, that keeps within them.
+tokens, from the earliest sentence start, or else word start, or else code point, that keeps within them.
 
-Defined results: null, empty and fitting texts give no piece; pieces cover the text, in order, cut at code points.
+Defined results: null, empty and fitting texts give no piece; pieces cover the text, in order, cut at code points. Where
+every boundary is a cut already and a piece is still too large, that piece alone shares less with the one before, down to
+nothing; that takes a limit that is hardly larger than the overlap.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ _BREAKS = regex.compile(rf"(?<![^\S{_LINE}])(?:\n[^\S\n]*+\n|\u2029|\r\n[^\S\n]*
 class Boundaries:
     """Places where a text may be cut, with the tokens before each and the strength of each."""
 
-    def __init__(self, text: str, enc: Encoder, limit: int):
+    def __init__(self, text: str, enc: Encoder, limit: int, overlap: int):
+        self.text, self.enc = text, enc
+        fine = max(8, min(limit // 8, overlap) if overlap else limit // 8)
         place, tokens, strength = [0], [0], [4]
         breaks = {}
         for m in _BREAKS.finditer(text):
@@ -48,7 +52,7 @@ class Boundaries:
                 place.append(a)
                 tokens.append(at)
                 strength.append(breaks.get(a, breaks.get(lead, 1)))
-            if n > max(8, limit // 8):
+            if n > fine:
                 inside, ends = text[a:b].encode(), np.cumsum(enc.token_bytes[enc.flat[enc.start[row] : enc.start[row] + n]]).tolist()
                 done = 0
                 for k, end in enumerate(ends[:-1], 1):
@@ -75,19 +79,20 @@ class Boundaries:
                 first = best if first is None else first
         return first if first is not None else min(max(low + 1, bisect_left(self.tokens, aim)), high)
 
-    def earlier(self, at: int, shared: int) -> int:
-        """Where a piece begins so that it shares at most `shared` tokens with the one that ends at `at`."""
-        a = bisect_left(self.tokens, self.tokens[at] - shared)
-        for least in (2, 1):
+    def earlier(self, low: int, at: int, shared: int) -> int:
+        """Where a piece begins, after `low`, so that it shares at most `shared` tokens with the one that ends at `at`: at the
+        first sentence, else word, else code point within them. What is cut inside a word counts as it is encoded alone."""
+        a = max(low + 1, bisect_left(self.tokens, self.tokens[at] - shared))
+        for least in (2, 1, 0):
             for i in range(a, at):
-                if self.strength[i] >= least:
+                if self.strength[i] >= least and (0 < least <= self.strength[at] or self.enc.counts([self.text[self.place[i] : self.place[at]]])[0] <= shared):
                     return i
         return at
 
 
 def split_text(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, str]]:
     """(start, end, tokens, tokens shared with the piece before, boundary at the start) of each piece; none if it fits."""
-    bounds = Boundaries(text, enc, limit)
+    bounds = Boundaries(text, enc, limit, overlap)
     total, last = bounds.total, len(bounds.place) - 1
     if total <= limit:
         return []
@@ -99,17 +104,20 @@ def split_text(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERL
             if k >= last:
                 break
             cuts.append(k)
-        starts = [cuts[0], *(bounds.earlier(k, overlap) if overlap else k for k in cuts[1:])]
-        starts = [max(s, c + 1) if c < k else s for s, c, k in zip(starts, [-1, *cuts], cuts, strict=False)]
         ends = [*cuts[1:], last]
-        spans = [(bounds.place[s], bounds.place[e]) for s, e in zip(starts, ends, strict=True)]
-        sizes = enc.counts([text[a:b] for a, b in spans])
-        shared = [0, *enc.counts([text[spans[i + 1][0] : spans[i][1]] for i in range(len(spans) - 1)])]
-        if max(sizes) <= limit and max(shared) <= overlap:
-            kinds = [KINDS[bounds.strength[k]] for k in cuts]
-            return [(a, b, t, s, k) for (a, b), t, s, k in zip(spans, sizes, shared, kinds, strict=True)]
-        if n > last and overlap:
-            overlap = 0  # every boundary is a cut already, so only sharing is left to give up
+        room = [bounds.tokens[e] - bounds.tokens[k] for k, e in zip(cuts, ends, strict=True)]
+        # what is cut between words has as many tokens as its words, so most tries need no encoding
+        done = n > last
+        if done or max(room) <= limit:
+            starts = [0, *(bounds.earlier(c, k, min(overlap, limit - r) if done else overlap) if overlap else k for c, k, r in zip(cuts, cuts[1:], room[1:], strict=False))]
+            if done or max(bounds.tokens[e] - bounds.tokens[s] for s, e in zip(starts, ends, strict=True)) <= limit:
+                spans = [(bounds.place[s], bounds.place[e]) for s, e in zip(starts, ends, strict=True)]
+                sizes = enc.counts([text[a:b] for a, b in spans])
+                if max(sizes) <= limit:
+                    shared = [0, *enc.counts([text[spans[i + 1][0] : spans[i][1]] for i in range(len(spans) - 1)])]
+                    return [(a, b, t, s, KINDS[bounds.strength[k]]) for (a, b), t, s, k in zip(spans, sizes, shared, cuts, strict=True)]
+                if done and overlap:
+                    overlap = 0
         n += max(1, n // 32)
 
 
@@ -141,5 +149,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pieces(spark, sf_dir).where(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_pieces": p10_pieces}
-SQL: dict[str, str] = {}
+def p10_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document put together again from its pieces without what they share, or its text where it has none. A document's
+    pieces are one document, so a group is small by nature."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and text is not null").select("doc_id", "text")
+    near = p10_pieces(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "n_tokens", "n_shared"))).alias("x"))
+    good = F.forall("x", lambda p: (p["n_tokens"] <= LIMIT) & (p["n_shared"] <= OVERLAP))
+    part = lambda p, i: F.when(i == 0, p["start_pos"]).otherwise(F.get(F.col("x"), i - 1)["end_pos"])
+    own = F.transform("x", lambda p, i: F.substring(F.col("text"), (part(p, i) + 1).cast("int"), (p["end_pos"] - part(p, i)).cast("int")))
+    return docs.join(near, "doc_id", "left").select("doc_id", F.coalesce(F.array_join(own, ""), "text").alias("text"), F.coalesce(good, F.lit(True)).alias("within"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_pieces": p10_pieces, "p10_rebuilt": p10_rebuilt}
+SQL = {"p10_rebuilt": "SELECT doc_id, text, true AS within FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"}

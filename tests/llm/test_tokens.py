@@ -66,6 +66,20 @@ def test_pieces_keep_the_limit_and_cover_the_text(enc, limit, overlap):
                 assert n == enc.counts([text[start:end]])[0] <= limit and shared <= overlap
 
 
+def test_pieces_without_words_share_code_points(enc):
+    """Han letters without a word start, and words longer than the overlap: pieces share nearly as much as they may."""
+    rng = random.Random(7)
+    for text in ("字" * 9000, "".join(rng.choice("天地人你我他好看说话") for _ in range(9000)), "qz" * 20000, ("x" * 400 + " ") * 60):
+        shared = [p[3] for p in split_text(text, enc)[1:]]
+        assert shared and min(shared) > 32 and max(shared) <= 64
+
+
+def test_rows_without_id_and_copies_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, "same")] * 300 + [(7, "copy")] * 300, "doc_id bigint, text string").repartition(3)
+    out = pack(df, "doc_id", "text", capacity=64, group_rows=100).collect()
+    assert len(out) == 600 and len({r.container >> 32 for r in out if r.doc_id is None}) == 6 == len({r.container >> 32 for r in out if r.doc_id == 7})
+
+
 def test_natural_boundaries_win(enc):
     text = "\n\n".join("Satz eins ist hier. Satz zwei ist da. " * 6 for _ in range(8))
     assert {p[4] for p in split_text(text, enc, 200, 0)[1:]} == {"paragraph"}
