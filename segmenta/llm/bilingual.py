@@ -31,8 +31,9 @@ from segmenta.llm.langid import code
 GROUP_SCRIPTS, ROUNDS, LEAST_COUNT, LEAST_LINK = 4_000, 5, 0.01, 0.02
 #: The score that a pair needs in order, out of order, and to join a clause that is paired already.
 PAIRED, MOVED, JOINED = 0.3, 0.45, 0.6
-#: Half the clauses of a document beyond which it is aligned row by row, which needs less memory and gives the same pairs.
-BLOCK = 1_500
+#: Pairs of clauses of a document beyond which it is aligned row by row, which needs less memory and gives the same pairs; and
+#: the letters of a script on average that a group of scripts is laid out for.
+CELLS, SCRIPT_LETTERS = 1 << 20, 2_048
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[㐀-鿿぀-ヿ]+|[ऀ-႟]+|[^\W\d_぀-ヿ㐀-鿿ऀ-႟]+")
 _CUT = re.compile(r"[,，、;；](?!\d)|[。！？।!?…]|\.(?!\w)")
@@ -81,7 +82,7 @@ def by_length(a: list[list[str]], b: list[list[str]]) -> list[tuple[int, int]]:
     la, lb = np.array([size(x) for x in a]), np.array([size(x) for x in b])
     ratio = lb.sum() / la.sum()
     off = lambda i, j: np.abs(np.log((lb[j] + 4) / (la[i] * ratio + 4)))
-    if max(len(a), len(b)) > 2 * BLOCK:
+    if len(a) * len(b) > CELLS:
         best = _path_by_rows(lambda i: 0.8 - off(i, slice(None)), len(a), len(b))
     else:
         best = _path(0.8 - off((slice(None), None), (None, slice(None))), 0.0)
@@ -177,6 +178,15 @@ def expected_counts(pairs: Iterable[tuple[list[str], list[str]]], rounds: int =
     return {(na[k // len(ib)], nb[k % len(ib)]): float(v) for k, v in zip(key.tolist(), count.tolist(), strict=True) if v > 0 and k >= len(ib)}
 
 
+def _places(clauses: list[list[str]]) -> dict[str, list[int]]:
+    """The clauses that have each word."""
+    out: dict[str, list[int]] = {}
+    for i, c in enumerate(clauses):
+        for t in c:
+            out.setdefault(t, []).append(i)
+    return out
+
+
 class Lexicon:
     """Links of words {a: {b: (probability of b given a, of a given b)}} and the weights of words of both sides."""
 
@@ -186,35 +196,32 @@ class Lexicon:
     def scores(self, a: list[list[str]], b: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """For each pair of clauses the weighted share of a's words that b translates, and of b's that a does. A word is
         translated as far as the other clause has the words that mostly go with it, all their probabilities together."""
-        fa, fb = [t for c in a for t in c], [t for c in b for t in c]
-        va, vb = list(dict.fromkeys(fa)), list(dict.fromkeys(fb))
-        pa_, pb = {t: i for i, t in enumerate(va)}, {t: i for i, t in enumerate(vb)}
-        to_b, to_a = np.zeros((len(va), len(vb))), np.zeros((len(va), len(vb)))
-        for t, i in pa_.items():
-            for u, (v, w) in self.links.get(t, {}).items():
-                if (j := pb.get(u)) is not None:
-                    to_b[i, j], to_a[i, j] = v, w
+        at_a, at_b = _places(a), _places(b)
+        got_a, got_b = np.zeros((len(at_a), len(b))), np.zeros((len(at_b), len(a)))
+        row_b = {u: j for j, u in enumerate(at_b)}
+        for i, (t, mine) in enumerate(at_a.items()):
+            known = self.links.get(t, {})
             # numbers and names are written alike
-            if (j := pb.get(t)) is not None and not _SPACELESS.match(t):
-                to_b[i, j] = to_a[i, j] = 1.0
-        ia, ib = np.array([pa_[t] for t in fa]), np.array([pb[t] for t in fb])
-        sa, sb = np.cumsum([0, *map(len, a)])[:-1], np.cumsum([0, *map(len, b)])[:-1]
-        wa = np.array([self.weight(t, self.wa) for t in fa])
-        wb = np.array([self.weight(t, self.wb) for t in fb])
-        got_a = np.minimum(1.0, np.add.reduceat(to_b[ia][:, ib], sb, axis=1))
-        got_b = np.minimum(1.0, np.add.reduceat(to_a[ia][:, ib], sa, axis=0))
-        of_a = np.add.reduceat(got_a * wa[:, None], sa, axis=0) / np.add.reduceat(wa, sa)[:, None]
-        of_b = np.add.reduceat(got_b * wb[None, :], sb, axis=1) / np.add.reduceat(wb, sb)[None, :]
-        return of_a, of_b
+            if t in at_b and not _SPACELESS.match(t):
+                known = known | {t: (1.0, 1.0)}
+            # the shorter of the two is walked
+            for u in known if len(known) < len(at_b) else at_b:
+                if (theirs := at_b.get(u)) is not None and (link := known.get(u)) is not None:
+                    got_a[i, theirs] += link[0]
+                    got_b[row_b[u], mine] += link[1]
+
+        def shares(got: np.ndarray, places: dict[str, list[int]], n: int, known: dict[str, float]) -> np.ndarray:
+            weights = np.zeros((n, len(places)))
+            for k, (t, mine) in enumerate(places.items()):
+                weights[mine, k] = self.weight(t, known)
+            return weights @ np.minimum(1.0, got) / weights.sum(axis=1)[:, None]
+
+        return shares(got_a, at_a, len(a), self.wa), shares(got_b, at_b, len(b), self.wb).T
 
     def rows(self, a: list[list[str]], b: list[list[str]]) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
         """The rows of scores(), each when it is asked for, in memory that grows with the text alone."""
-        where: dict[str, list[int]] = {}
-        for j, c in enumerate(b):
-            for t in c:
-                where.setdefault(t, []).append(j)
-        place = {t: np.array(js) for t, js in where.items()}
-        wb = {t: self.weight(t, self.wb) for t in where}
+        place = {t: np.array(js) for t, js in _places(b).items()}
+        wb = {t: self.weight(t, self.wb) for t in place}
         whole = np.array([sum(wb[t] for t in c) for c in b])
 
         def row(i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +252,7 @@ def align(source: list[str | None], target: list[str | None], lexicon: Lexicon)
     """Places of source and target segments that translate each other."""
     a, oa = clauses(source)
     b, ob = clauses(target)
-    found = (_aligned_by_rows if max(len(a), len(b)) > 2 * BLOCK else _aligned)(a, b, lexicon)
+    found = (_aligned_by_rows if len(a) * len(b) > CELLS else _aligned)(a, b, lexicon)
     return sorted({(oa[i], ob[j]) for i, j in found})
 
 
@@ -343,8 +350,10 @@ def _once(rows: list[dict]) -> list[dict]:
 
 
 def salted(rows: DataFrame, group: int) -> DataFrame:
-    """Adds salt: enough of them that a language pair's groups have about `group` rows."""
-    many = rows.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
+    """Adds salt: enough of them that a language pair's groups have about `group` rows, or fewer where those are long."""
+    letters = F.length(F.array_join("src", "")) + F.length(F.array_join("tgt", ""))
+    most = F.greatest(F.count(F.lit(1)) / group, F.sum(F.coalesce(letters, F.lit(0))) / (group * SCRIPT_LETTERS))
+    many = rows.groupBy("pair").agg(F.ceil(most).cast("int").alias("salts"))
     own = [F.col(c).cast("string") for c in ("script_id", "trans_id") if c in rows.columns]
     return rows.join(many, "pair").withColumn("salt", F.pmod(F.xxhash64(F.coalesce(*own, F.col("src")[0])), F.col("salts")).cast("int"))
 
@@ -380,8 +389,8 @@ def links(training: DataFrame) -> DataFrame:
     total = counts.groupBy("pair", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > LEAST_COUNT)
     # windows instead of joins with sums, so that the training stands in the plan once
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    share = lambda c: F.when(both, F.col("n") / F.sum(F.when(both, F.col("n"))).over(W.partitionBy("pair", c))).otherwise(F.col("n"))
-    linked = total.withColumn("to_b", share("a")).withColumn("to_a", share("b"))
+    share = lambda c, d: F.when(both, F.col("n") / F.sum(F.when(both, F.col("n"))).over(W.partitionBy("pair", F.coalesce(c, d)))).otherwise(F.col("n"))
+    linked = total.withColumn("to_b", share("a", "b")).withColumn("to_a", share("b", "a"))
     return linked.where(~both | (F.greatest("to_b", "to_a") >= LEAST_LINK)).select("pair", "a", "b", "to_b", "to_a")
 
 
