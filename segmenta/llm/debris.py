@@ -5,6 +5,8 @@ The patterns are used by Java's regex engine and, where a Python operator needs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,28 +54,42 @@ def narrow(text: Column) -> Column:
     return F.translate(text, FULL + IGNORED, HALF)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _where(text: Column, hint: str, pattern: str) -> Column:
+    """Without what the pattern finds, which is looked for only where the text has what the hint tells cheaply."""
+    return _once(text, lambda t: F.when(t.rlike(hint), F.regexp_replace(t, pattern, " ")).otherwise(t))
+
+
 def untimed(text: Column) -> Column:
     """Without time stamps in brackets, and bare ones at the start."""
-    return F.regexp_replace(F.regexp_replace(text, TIME, " "), rf"^\s*{BARE_TIME}", " ")
+    return _where(_where(text, r"[\[(<]", TIME), r"^\s*\d", rf"^\s*{BARE_TIME}")
 
 
 def unsounded(text: Column) -> Column:
-    return F.regexp_replace(text, SOUND, " ")
+    return _where(text, r"[\[{<【*(（♪♫♬♩]", SOUND)
 
 
 def unsounded_start(text: Column) -> Column:
     """Without annotations before the first word, so that a label after them is seen; labels in brackets stay."""
-    return F.regexp_replace(text, rf"^(?:\s*{SOUND_FIRST})+", " ")
+    return _where(text, r"^\s*[\[{<【*(（♪♫♬♩]", rf"^(?:\s*{SOUND_FIRST})+")
 
 
 def unfilled(text: Column) -> Column:
     t = F.regexp_replace(text, f"(?iu){FILLER}", " ")
-    return F.regexp_replace(t, f"(?:{CJK_FILLER}|{PAUSED})", " ")
+    return _where(t, f"[{''.join(sorted({c for w in (*CJK_FILLERS, *ALSO_WORDS) for c in w}))}]", f"(?:{CJK_FILLER}|{PAUSED})")
+
+
+#: A letter or digit that no filler has; where there is one, there is a word.
+_SURE = r"[\p{L}\p{N}&&[^" + "".join(sorted({x for w in (*FILLERS, *CJK_FILLERS, *ALSO_WORDS, "ben") for c in w if c.isalpha() for x in (c, c.upper(), c.lower()) if len(x) == 1})) + "]]"
 
 
 def has_words(text: Column) -> Column:
     """Anything but labels, times, sounds and fillers; for text whose label is cut off already."""
-    return unfilled(unsounded(text)).rlike(r"[\p{L}\p{N}]")
+    return _once(unsounded(text), lambda t: t.rlike(_SURE) | unfilled(t).rlike(r"[\p{L}\p{N}]"))
 
 
 def speaker_number(label: Column) -> Column:

@@ -260,19 +260,41 @@ def test_labels(spark, speaker, text, label, body, spoken):
     assert (r.speaker, r.body, r.spoken) == (label, body, spoken)
 
 
-def test_rolling_captions(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([("a rolling caption", "caption goes on"), ("no", "no"), ("abc", "xyz"), ("the end of it", "the end of it")], "a string, b string")
-    assert [r.n for r in df.select(turns.overlap(F.col("a"), F.col("b")).alias("n")).collect()] == [7, 0, 0, 13]
+def test_rolling_captions():
+    """Only what stands between word borders, makes up half of the earlier caption and adjoins in time is a repetition."""
+    cases = [("a rolling caption", "rolling caption goes on", 15), ("no", "no", 0), ("abc", "xyz", 0), ("the end of it", "the end of it", 13), ("that is good", "good morning", 0), ("station", "tion of", 0), ("我们今天排练", "今天排练副歌", 4), ("", "x", 0)]
+    assert [turns.repeated(a, b) for a, b, _ in cases] == [n for *_, n in cases]
+    seg = lambda s, e, t: {"start_s": s, "end_s": e, "said": t}
+    assert turns.rolled([seg(0, 1, "a rolling caption"), seg(1.2, 2, "rolling caption goes on"), seg(9, 10, "caption goes on")]) == "a rolling caption goes on caption goes on"
+    assert turns.rolled([seg(None, None, None), seg(None, 2, "x")]) == "x"
 
 
 def test_overlap_equals_trying_all_lengths():
     rng = random.Random(6)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(2))
-        want = max((n for n in range(4, min(len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
-        assert turns.longest_overlap(a, b) == want
+    for _ in range(600):
+        a, b = ("".join(rng.choice("ab ") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        good = lambda n: a[-n:] == b[:n] and turns._at_border(a, len(a) - n) and turns._at_border(b, n)
+        want = max((n for n in range(4, min(len(a), len(b)) + 1) if 2 * n >= len(a) and good(n)), default=0)
+        assert turns.repeated(a, b) == want
+    for a, b in (("a" * 50_000 + "b", "a" * 50_000), ("ab" * 40_000, "ba" * 40_000)):
+        assert turns.repeated(a, b) == (0 if a[-1] == "b" and b[0] == "a" else turns.repeated(a, b))
+    assert turns._longest("xabab", "ababab") == [4, 2]
+
+
+def test_pauses_are_calibrated_and_split_turns(spark):
+    """Short gaps of about 0.2 s and long ones of about 8 s: the border lies between, and turns end at the long ones, also
+    where a time shard ends."""
+    rows, t = [], 0.0
+    for i in range(400):
+        rows.append(("gold", "r", float(round(t, 3)), i, i, round(t + 2.0, 3), "SPEAKER_00" if i % 40 < 30 else "SPEAKER_01", f"w{i}", int(t // turns.SHARD_S)))
+        t += 2.0 + (8.0 if i % 10 == 9 else 0.2)
+    df = spark.createDataFrame(rows, "origin string, entity_id string, start_s double, pos bigint, seg bigint, end_s double, speaker string, said string, shard bigint")
+    pauses = turns.calibrated(df)
+    assert 0.3 < pauses["gold"] < 8
+    got = sorted((r.head_seg, r.text) for r in turns.written(turns.turns(df, pauses, texts=True)).collect())
+    assert [h for h, _ in got] == list(range(0, 400, 10)) and got[3][1] == " ".join(f"w{i}" for i in range(30, 40))
+    assert sorted(r.head.seg for r in turns.turns(df).collect()) == [x for k in range(0, 400, 40) for x in (k, k + 30)]
+    assert turns.calibrated(df.where("false")) == {}
 
 
 def test_long_texts_take_linear_time(model):
