@@ -1,8 +1,9 @@
 """Sentence boundaries across languages and scripts, and the queries of problem 5.
 
 Spaced scripts go by the lattice of terminators: every cluster of end marks, line break and, in spaceless scripts, white
-space is a node, and a node is a boundary unless it stands inside a quotation or bracket, after an abbreviation, initial
-or number, after a conjunction or filler (a pause), or before a continuation. Spaceless scripts are cut into words by a
+space is a node with a score, which is negative inside brackets and paired quotes, after an abbreviation, initial or number,
+after a conjunction or filler (a pause), or before a continuation. Straight quotes are read as opening, closing or stray;
+the path of the best score through nodes and readings gives the boundaries. Spaceless scripts are cut into words by a
 dictionary lattice (Viterbi over word frequencies); a gap between words without an end mark is a boundary when the word
 before it mostly ends sentences and the word after it mostly opens them, with white space in its favour.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -60,18 +62,25 @@ CJK_GOES_ON = ("而且", "但是", "因为", "所以", "可是", "不过", "然
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jan feb".split())
 FILES = set("wav mp3 mp4 txt json csv srt vtt pdf doc html xml yaml py com org net de io www ogg flac avi mkv zip tar gz jpg png".split())
 
-_CJK = "㐀-鿿぀-ヿ豈-﫿"
+#: Letters of scripts that write no spaces between words: Han, kana, and Thai, Lao, Burmese and Khmer with their signs.
+_CJK = "㐀-鿿぀-ヿ豈-﫿ก-๎ກ-໎က-ဿក-៓"
 #: A place that may be a boundary: end marks with what closes after them, a line break, white space after a CJK letter.
-_NODE = regex.compile(rf"(?P<mark>[.!?…。！？।॥｡．]+)(?P<close>[\"'”’»›)\]）】」』〉》]*)(?P<gap>\s*)(?=\S)|(?<![^\S\n])(?P<line>[^\S\n]*+[\r\n]\s*)(?=\S)|(?<=[{_CJK}])(?P<white>[^\S\n]+)(?=[{_CJK}\p{{Lu}}“「『«\"(（])")
-_FAST = re.compile(rf"[.!?…。！？।॥｡．][\"'”’»›)\]）】」』〉》]*\s*\S|[\r\n]|[{_CJK}]\s+\S")
-_INSIDE = regex.compile(r"“[^“”]*[”]|«[^«»]*»|‹[^‹›]*›|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|„[^„“”]*[“”]|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*】|<[^<>\n]{0,40}>|\"[^\"\n]{1,400}\"")
+_NODE = regex.compile(rf"(?P<mark>[.!?…。！？।॥｡．។៕။]+)(?P<close>[\"'”’»›)\]）】」』〉》]*)(?P<gap>\s*)(?=\S)|(?<![^\S\n])(?P<line>[^\S\n]*+[\r\n]\s*)(?=\S)|(?<=[{_CJK}])(?P<white>[^\S\n]+)(?=[{_CJK}\p{{Lu}}“「『«\"(（])")
+_FAST = re.compile(rf"[.!?…。！？।॥｡．។៕။][\"'”’»›)\]）】」』〉》]*\s*\S|[\r\n]|[{_CJK}]\s+\S")
+_INSIDE = regex.compile(r"“[^“”]*[”]|«[^«»]*»|‹[^‹›]*›|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|„[^„“”]*[“”]|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*】|<(?!\s)[^<>\n]*>")
 _OPENERS = "“«‹「『„(（[【<\""
-_LAST_WORD = regex.compile(rf"(?:(?![{_CJK}])[\p{{L}}\p{{M}}\p{{N}}.'’°º\-])+$")
-_FILLER = regex.compile(f"(?i)(?:{D.FILLER}|{D.CJK_FILLER}|(?:那个|这个)$)$")
+_TOKEN = regex.compile(rf"(?:(?![{_CJK}])[\p{{L}}\p{{M}}\p{{N}}.'’°º\-])+")
+#: A filler at the end of what is looked at, found backwards.
+_FILLER = regex.compile(f"(?r)(?i)(?:{D.FILLER}|{D.CJK_FILLER}|那个|这个)")
+#: Full stops that an abbreviation or initials have at most, and the letters of the longest abbreviation with a space in it.
+STOPS, SPACED = 8, max(len(x) for x in MAY_END if " " in x)
+#: Prices on the path: a straight quote that is taken for a stray one though it could pair, and if it couldn't; a line break
+#: or the text's end inside a quotation; a boundary there.
+STRAY, ODD, BROKEN, UNCLOSED, INSIDE = 1e6, 0.5, 2.02e6, 2e6, 1e12
 _WORDS = regex.compile(r"[\p{L}\p{N}]")
 _DEBRIS = regex.compile(f"(?i){D.TIME}|{D.SOUND}|^\\s*{D.BARE_TIME}|^\\s*\\[?{D.LABEL}\\]?\\s*[:：\\-–]?|{D.FILLER}|{D.CJK_FILLER}")
 #: What ends a sentence for certain.
-ENDS = r"[。！？!?…\r\n]+"
+ENDS = r"[。！？!?…។៕။\r\n]+"
 _RUN = re.compile(rf"[{_CJK}]+")
 _LETTER = re.compile(rf"[{_CJK}]")
 
@@ -218,49 +227,90 @@ def _cased(letter: str) -> bool:
     return letter.lower() != letter.upper() or not letter.isalpha() and unicodedata.category(letter or " ")[0] != "M"
 
 
-def _gap(text: str, end: int, start: int, model: Model, white: bool) -> bool:
-    """Is the gap between two words of a spaceless script a boundary?"""
-    left = _RUN.findall(text[max(0, end - 40) : end])
-    right = _RUN.match(text, start)
-    before = model.cut(left[-1])[-1] if left else ""
-    score = (2.5 if white else -2.0) + model.final(before)
-    score += model.opening(model.cut(right.group()[:40])[0]) if right else 0.0
-    return score > 0
-
-
-def _ends(text: str, m: regex.Match, lower: bool) -> bool:
-    """Is a cluster of end marks outside quotations a boundary?"""
-    mark, close, gap, at, end = m["mark"], m["close"], m["gap"], m.start(), m.end()
-    nxt = text[end]
-    if nxt in ",;:，、；：)）]】”»」』" or (nxt in "-–—" and not gap):
-        return False
-    following = text[end:].lstrip("“«‹「『„(（[【<\"'¿¡-–—•* ")[:1] or nxt
-    if close and close[0] in "”»›」』〉》\"" or (close and len(close) > 1 and any(c in "”»」』" for c in close)):
-        return following.isupper() and not lower and nxt not in "“«「『" or "\n" in gap
-    small = following.islower() and not lower and _cased(text[at - 1 : at])
-    wordlike = _LAST_WORD.search(text, max(0, at - 24), at)
-    word = wordlike.group() if wordlike else ""
-    if mark[0] in "…" or mark.startswith(".."):
-        tail = text[max(0, at - 12) : at].rstrip()
-        if not tail or tail[-1] in ",，、:：;；-–—" or small:
+class _Text:
+    """A text with what its nodes ask for, each found once: words before a place, words of runs of spaceless scripts."""
+
+    def __init__(self, text: str, model: Model):
+        self.text, self.model, self.lower = text, model, text == text.lower()
+        self.runs: dict[int, list[str]] = {}
+
+    @cached_property
+    def tokens(self) -> tuple[list[int], list[int]]:
+        spans = [m.span() for m in _TOKEN.finditer(self.text)]
+        return [a for a, _ in spans], [b for _, b in spans]
+
+    @cached_property
+    def spaceless(self) -> tuple[list[int], list[int]]:
+        spans = [m.span() for m in _RUN.finditer(self.text)]
+        return [a for a, _ in spans], [b for _, b in spans]
+
+    def word_before(self, at: int) -> str:
+        """The word of a spaced script that ends at a place, from its STOPS-th full stop from the end on; empty without."""
+        starts, ends = self.tokens
+        k = bisect_right(starts, at - 1) - 1
+        if k < 0 or ends[k] < at:
+            return ""
+        a = starts[k]
+        stop = at - 1
+        for _ in range(STOPS + 1):
+            stop = self.text.rfind(".", a, stop)
+            if stop < 0:
+                return self.text[a:at]
+        return self.text[stop + 1 : at]
+
+    def words_of_run(self, k: int) -> list[str]:
+        if k not in self.runs:
+            self.runs[k] = self.model.cut(self.text[self.spaceless[0][k] : self.spaceless[1][k]])
+        return self.runs[k]
+
+    def gap(self, end: int, start: int) -> float:
+        """The score of white space between two words of a spaceless script."""
+        starts, ends = self.spaceless
+        left, right = bisect_left(ends, end), bisect_left(starts, start)
+        before = self.words_of_run(left)[-1] if left < len(ends) and ends[left] == end else ""
+        score = 2.5 + self.model.final(before)
+        return score + (self.model.opening(self.words_of_run(right)[0]) if right < len(starts) and starts[right] == start else 0.0)
+
+    def ends(self, m: regex.Match) -> bool:
+        """Is a cluster of end marks outside quotations a boundary?"""
+        text, lower = self.text, self.lower
+        mark, close, gap, at, end = m["mark"], m["close"], m["gap"], m.start(), m.end()
+        nxt = text[end]
+        if nxt in ",;:，、；：)）]】”»」』" or (nxt in "-–—" and not gap):
             return False
-        return not (word.lower() in GOES_ON or tail.endswith(CJK_GOES_ON) or _FILLER.search(tail))
-    if mark in (".", "．"):
+        following = _lead(text, end) or nxt
+        if close and close[0] in "”»›」』〉》\"" or (close and len(close) > 1 and any(c in "”»」』" for c in close)):
+            return following.isupper() and not lower and nxt not in "“«「『" or "\n" in gap
+        small = following.islower() and not lower and _cased(text[at - 1 : at])
+        word = self.word_before(at)
+        if mark[0] in "…" or mark.startswith(".."):
+            e = at
+            while e and text[e - 1].isspace():
+                e -= 1
+            if not e or text[e - 1] in ",，、:：;；-–—" or small:
+                return False
+            return not (word.lower() in GOES_ON or text.endswith(CJK_GOES_ON, 0, e) or _FILLER.match(text, 0, e))
+        if mark in (".", "．"):
+            return self._stops(m, word, following, small)
+        return not small or "।" in mark
+
+    def _stops(self, m: regex.Match, word: str, following: str, small: bool) -> bool:
+        """The same of one full stop: after no abbreviation, initial or number, and inside no name of a file."""
+        text, lower, at, end, nxt = self.text, self.lower, m.start(), m.end(), self.text[m.end()]
         token = word.lower().rstrip(".")
         if (stuck := re.fullmatch(r"[^\W\d_]{4,}\.((?:[^\W\d_]\.)*[^\W\d_])", token)) is not None:
             token = stuck[1]  # an abbreviation that follows a sentence without space
-        if not gap:
-            if not (following.isalpha() and wordlike and text[at - 1].isalpha()):
+        if not m["gap"]:
+            if not (following.isalpha() and word and text[at - 1].isalpha()):
                 return bool(_LETTER.match(nxt)) and not nxt.isdigit() and len(token) > 3 and not token.isascii()
-            after = regex.match(r"[\p{L}\p{M}]+", text[end:])
+            after = _LETTERS.match(text, end)
             tail = after.group() if after else ""
             if tail.lower() in FILES or "." in token or token in ABBREVIATIONS or not regex.fullmatch(r"[\p{L}\p{M}'’\-]+", word):
                 return bool(after and following.isupper() and token not in ABBREVIATIONS and word[-1:].isdigit())
             if text[end + len(tail) : end + len(tail) + 1] == "." and len(tail) < 3:
                 return len(token) > 3
             return len(token) > 2 and (following.isupper() or len(tail) > 2 and not token.isascii() or lower and len(tail) > 2)
-        pair = text[max(0, at - 5) : at].lower().split(" ")
-        two = " ".join(pair[-2:]).lstrip("([ ")
+        two = " ".join(text[max(0, at - SPACED - 1) : at].lower().split(" ")[-2:]).lstrip("([ ")
         if two in MAY_END and " " in two:
             return not small and nxt != "("
         if token == "no" and not nxt.isdigit():
@@ -272,11 +322,59 @@ def _ends(text: str, m: regex.Match, lower: bool) -> bool:
         if len(token) == 1 and token.isalpha() and not _LETTER.match(token) or regex.fullmatch(r"(?:\p{L}\.)+\p{L}", token):
             return False
         if token.isdigit() and len(token) < 3:
-            after = regex.match(r"\p{L}+", text[end:])
-            if after and after.group().lower() in MONTHS:
+            after = _LETTERS.match(text, end)
+            if after and regex.match(r"\p{L}+", after.group()).group().lower() in MONTHS:
                 return False
         return not small
-    return not small or "।" in mark
+
+
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_LEADING = regex.compile(r"[“«‹「『„(（\[【<\"'¿¡\-–—•* ]*")
+
+
+def _lead(text: str, at: int) -> str:
+    """The first letter from a place on that is no opening mark or list mark; empty at the end."""
+    k = _LEADING.match(text, at).end()
+    return text[k : k + 1]
+
+
+def _readings(text: str, at: int) -> tuple[float, float, float]:
+    """Prices of a straight quote as an opening, a closing and a stray one, by what stands beside it."""
+    a, b = text[at - 1 : at], text[at + 1 : at + 2]
+    opens = bool(b) and not b.isspace() and not (a.isalnum() and not _LETTER.match(a))
+    closes = bool(a) and not a.isspace()
+    inch = a.isdigit()
+    return 0.0 if opens else INSIDE, 0.0 if closes else INSIDE, ODD if inch or not (opens or closes) else STRAY
+
+
+def _path(text: str, nodes: list[tuple[int, int, float]]) -> list[int]:
+    """Places of the boundaries on the best path through nodes (place of the mark, place of the cut, score) in order and the
+    readings of straight quotes between them. States are outside and inside a straight quotation; boundaries lie outside."""
+    quotes = [m.start() for m in re.finditer('"', text)]
+    if not quotes:
+        return [cut for _, cut, score in nodes if score > 0]
+    events = sorted([(q, 0, 0.0) for q in quotes] + [(cut - 0.5, 1, score) for _, cut, score in nodes] + [(m.start(), 2, 0.0) for m in re.finditer("\n", text)])
+    best = [0.0, -INSIDE]
+    back: list[tuple[tuple[int, bool], tuple[int, bool]]] = []
+    for place, kind, score in events:
+        if kind == 0:
+            opening, closing, stray = _readings(text, int(place))
+            out, into = (best[0] - stray, best[1] - closing), (best[1] - stray, best[0] - opening)
+            back.append(((0, False) if out[0] >= out[1] else (1, False), (1, False) if into[0] > into[1] else (0, False)))
+            best = [max(out), max(into)]
+        elif kind == 1:
+            back.append(((0, score > 0), (1, False)))
+            best = [best[0] + max(score, 0.0), best[1]]
+        else:
+            back.append(((0, False), (1, False)))
+            best = [best[0], best[1] - BROKEN]
+    state = 0 if best[0] >= best[1] - UNCLOSED else 1
+    found = []
+    for (place, _, _), step in zip(reversed(events), reversed(back), strict=True):
+        state, cut = step[state]
+        if cut:
+            found.append(int(place + 0.5))
+    return found[::-1]
 
 
 def cuts(text: str, model: Model) -> list[int]:
@@ -284,36 +382,36 @@ def cuts(text: str, model: Model) -> list[int]:
     if not _FAST.search(text) and not _RUN.search(text):
         return []
     spans: list[tuple[int, int]] = [m.span() for m in _INSIDE.finditer(text)] if any(c in text for c in _OPENERS) else []
-    lower = text == text.lower()
-    found: list[int] = []
+    own = _Text(text, model)
+    nodes: list[tuple[int, int, float]] = []
     k = 0
     for m in _NODE.finditer(text):
         at = m.start() if m["mark"] is None else m.start("mark")
         while k < len(spans) and spans[k][1] <= at:
             k += 1
         closes = m["mark"] is not None and k < len(spans) and m.end("close") >= spans[k][1]
-        if k < len(spans) and spans[k][0] < at and not closes:
+        if m.end() >= len(text) or k < len(spans) and spans[k][0] < at and not closes:
             continue
         if m["mark"] is not None:
-            good = _ends(text, m, lower)
-            good = good or "\n" in m["gap"]
+            good = 1.0 if "\n" in m["gap"] or own.ends(m) else -1.0
         elif m["line"] is not None:
-            good = m.start() > 0 and text[m.start() - 1] not in ",，、:：;；"
+            good = 1.0 if m.start() > 0 and text[m.start() - 1] not in ",，、:：;；" else -1.0
         else:
-            good = _gap(text, m.start(), m.end(), model, True)
-        if good and m.end() < len(text):
-            found.append(m.end())
-    for run in _RUN.finditer(text):
+            good = own.gap(m.start(), m.end())
+        nodes.append((at, m.end(), good))
+    for r, (start, end) in enumerate(zip(*own.spaceless, strict=True)):
         # cut into words only where some two words could meet
-        if model.meeting is not None and model.meeting.search(run.group()):
-            words, at = model.cut(run.group()), run.start()
+        if model.meeting is not None and model.meeting.search(text, start, end):
+            words, at = own.words_of_run(r), start
             for a, b in zip(words, words[1:], strict=False):
                 at += len(a)
-                if model.final(a) + model.opening(b) - 2.0 > 0 and model.final(a) > SURE and model.opening(b) > SURE and not any(x < at < y for x, y in spans):
-                    found.append(at)
+                score = model.final(a) + model.opening(b) - 2.0
+                if score > 0 and model.final(a) > SURE and model.opening(b) > SURE and not _within(spans, at):
+                    nodes.append((at, at, score))
+    found = _path(text, sorted(nodes, key=lambda n: n[1]))
     if not found:
         return found
-    # units without words are no sentences
+    # an edge of the path holds words: units without any join the sentence before, or the first one
     out: list[int] = []
     edges = [0, *sorted(set(found)), len(text)]
     pending = True
@@ -325,6 +423,12 @@ def cuts(text: str, model: Model) -> list[int]:
     return out
 
 
+def _within(spans: list[tuple[int, int]], at: int) -> bool:
+    """Is a place inside one of disjoint spans in order?"""
+    k = bisect_left(spans, (at,)) - 1
+    return k >= 0 and spans[k][0] < at < spans[k][1]
+
+
 def boundaries(df: DataFrame, model: Model) -> DataFrame:
     """df has origin, record_id and text; gives origin, record_id, cut_pos. A row stands alone; repeats are dropped."""
 
@@ -352,9 +456,32 @@ def trained(spark: SparkSession, sf_dir: str) -> Model:
     return fitted(texts(spark, sf_dir).select("text"))
 
 
+def units(df: DataFrame, model: Model) -> DataFrame:
+    """origin, record_id, sentence_no, start_pos, end_pos, sentence of every text (origin, record_id, text) with anything but white
+    space, texts of one sentence included. Units begin with no white space and cover the text but for that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        for batch in batches:
+            rows = []
+            for o, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = [len(t) - len(t.lstrip()), *cuts(t, model), len(t)]
+                rows += [(o, i, n, a, a + len(t[a:b].rstrip()), t[a:b].rstrip()) for n, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["origin", "record_id", "sentence_no", "start_pos", "end_pos", "sentence"])
+
+    rows = df.where("text is not null and record_id is not null").select("origin", "record_id", "text")
+    out = rows.mapInArrow(run, "origin string, record_id bigint, sentence_no bigint, start_pos bigint, end_pos bigint, sentence string")
+    return out.dropDuplicates(["origin", "record_id", "sentence_no"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries(texts(spark, sf_dir), trained(spark, sf_dir))
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units(texts(spark, sf_dir), trained(spark, sf_dir))
+
+
+QUERIES = {"p5_found": p5_found, "p5_sentences": p5_sentences}
 SQL: dict[str, str] = {}
