@@ -64,6 +64,73 @@ def test_gaps_of_spaceless_scripts():
     assert sentences.cuts(text, model) == [9]
 
 
+@pytest.mark.parametrize("n", [3, 12, 40, 400])
+def test_quotations_of_any_length_are_one_sentence(n):
+    """The same answer below and far beyond 400 letters; a quote that never closes, or an inch, hides no sentence."""
+    said = "Go home now. " * n
+    assert sentences.cuts(f'She says: "{said.strip()}" and nods. Then she left.', sentences.Model()) == [len(f'She says: "{said.strip()}" and nods. ')]
+    assert len(sentences.cuts(f'He said "well. {said}', sentences.Model())) == n
+    assert len(sentences.cuts(f'A 5" screen works. {said}', sentences.Model())) == n
+    tag = "<i class=x" + " y" * n + ">"
+    assert sentences.cuts(f"{tag.replace('x', 'x. Y')}One here. Two here.", sentences.Model()) == [len(f"{tag.replace('x', 'x. Y')}One here. ")]
+
+
+def test_readings_of_straight_quotes_equal_all_readings():
+    """The path's score is the best of all readings of the quotes and all choices of boundaries."""
+    rng = random.Random(8)
+    for _ in range(80):
+        text = "".join(rng.choice('ab "" .\n5') for _ in range(rng.randint(4, 16)))
+        nodes = [(i, i + 1, 1.0) for i, c in enumerate(text[:-1]) if c == "."]
+        events = sorted([(i, "q") for i, c in enumerate(text) if c == '"'] + [(i, "n") for i, c in enumerate(text) if c == "\n"] + [(cut - 0.5, "c") for _, cut, _ in nodes])
+
+        def best(k, inside):
+            if k == len(events):
+                return -sentences.UNCLOSED if inside else 0.0
+            at, kind = events[k]
+            if kind == "n":
+                return best(k + 1, inside) - (sentences.BROKEN if inside else 0.0)
+            if kind == "c":
+                return best(k + 1, inside) + (0.0 if inside else 1.0)
+            o, c, s = sentences._readings(text, at)
+            return max(best(k + 1, inside) - s, best(k + 1, not inside) - (c if inside else o))
+
+        def score(found, k=0, inside=False):
+            """The best score of readings that allow just these boundaries."""
+            if k == len(events):
+                return -sentences.UNCLOSED if inside else 0.0
+            at, kind = events[k]
+            if kind == "n":
+                return score(found, k + 1, inside) - (sentences.BROKEN if inside else 0.0)
+            if kind == "c":
+                hit = int(at + 0.5) in found
+                return -1e12 if hit and inside else score(found, k + 1, inside) + hit
+            o, c, s = sentences._readings(text, at)
+            return max(score(found, k + 1, inside) - s, score(found, k + 1, not inside) - (c if inside else o))
+
+        assert abs(score(set(sentences._path(text, nodes))) - best(0, False)) < 1e-6
+
+
+def test_scripts_without_spaces_are_cut_at_white_space():
+    assert sentences.cuts("ฉันไปโรงเรียน เขากลับบ้านแล้ว", sentences.Model()) == [14]
+    assert sentences.cuts("ខ្ញុំទៅសាលា។ គាត់ទៅផ្ទះ។", sentences.Model()) == [13]
+
+
+def test_far_context_counts():
+    """An abbreviation, a filler and the words of a run beyond any small window before a gap."""
+    assert sentences.cuts("u" * 60 + "m" * 30 + "... yes it is. Well.", sentences.Model()) != []
+    model = sentences.Model({"走": -3.0, "了": -3.0, "我": -3.0, "好": -3.0}, {"走": 9, "了": 9, "我": 9, "好": 9}, {"了": 8}, {"我": 8})
+    for n in (10, 30, 300):
+        assert sentences.cuts("好" * n + "了 我" + "好" * n, model) == [n + 2]
+    long = sentences._Text("x " + "ab." * 40 + " y", sentences.Model())
+    assert long.word_before(2 + 119) == "ab." * 8 + "ab"
+
+
+def test_sentence_units_cover_texts(spark):
+    rows = [("seg", 1, " One. Two! "), ("seg", 2, "Only"), ("asr", 1, ""), ("asr", 2, None), ("asr", 3, "  "), ("seg", 2, "Only")]
+    got = sentences.units(spark.createDataFrame(rows, "origin string, record_id bigint, text string"), sentences.Model()).collect()
+    assert sorted(tuple(r) for r in got) == [("seg", 1, 0, 1, 5, "One."), ("seg", 1, 1, 6, 10, "Two!"), ("seg", 2, 0, 0, 4, "Only")]
+
+
 def test_gaps_of_short_runs_without_marks():
     """Two sentences that run together are cut, however short the run is and whether or not the text has end marks."""
     model = sentences.Model({"走": -3.0, "了": -3.0, "我": -3.0, "好": -3.0}, {"走": 9, "了": 9, "我": 9, "好": 9}, {"了": 8}, {"我": 8})
@@ -147,6 +214,32 @@ def test_lookalikes_do_not_depend_on_what_was_written():
     assert form("") == "" and form("​") == ""
 
 
+def test_kana_and_han_twins_take_the_likelier_neighbours():
+    lines = ["カメラの力", "ロボットが口をあける", "カメラとロボット", "二人の口", "一起唱", "カード", "努力する"] * 5
+    counts = {}
+    for t in lines:
+        for m in lookalikes._TWINS_MET.finditer(t):
+            a, met, b = lookalikes._neighbours(t, m)
+            for x, y in zip(a + met, met + b, strict=True):
+                counts["mixed", x, y] = counts.get(("mixed", x, y), 0) + 1
+    f = lookalikes.Former(counts)
+    form = lambda t: f.form(lookalikes.plain(t), "Latin")
+    assert form("力メラ") == form("カメラ") and form("口ボット") == form("ロボット") and form("ー起唱") == form("一起唱") == "一起唱"
+    assert form("努カする") == form("努力する") == "努力する" and form("カメラ") == "カメラ" and form("ガラス") != form("カラス")
+
+
+def test_lookalike_classes_count_links(spark):
+    rows = [(1, "some hope"), (2, "some hope"), (3, "sоme hope"), (4, "some  hope"), (5, None), (6, "ѕome hope")]
+    formed = lookalikes.forms(spark.createDataFrame(rows, "line_id bigint, text string"), "line_id", "text")
+    assert {tuple(r) for r in lookalikes.classes(formed, "line_id").collect()} == {(1, 1, 2, 2), (1, 3, 1, 3), (1, 6, 1, 3)}
+
+
+def test_keywords_are_found_once_in_lines_that_look_like_them(spark):
+    rows = [(1, "some hоpe", ["hope", "hоpe", None, "", "x"]), (2, "some hope", ["hope"]), (3, None, ["a"]), (4, "ｓome", None)]
+    got = lookalikes._paired(lookalikes.sought(spark.createDataFrame(rows, "line_id bigint, text string, keywords array<string>"), "line_id", "text", "keywords")).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 0), (1, 2, -1)}
+
+
 def test_lookalike_pairs_against_brute_force(spark):
     rows = [(1, "some hope"), (2, "some hope"), (3, "sоme hope"), (4, "some  hope"), (5, None), (6, "ѕome hope")]
     formed = lookalikes.forms(spark.createDataFrame(rows, "line_id bigint, text string"), "line_id", "text")
