@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from segmenta.llm.langid import code
+from segmenta.llm.langid import code, notations
 
 #: Scripts of a salted group, rounds of expectation-maximization, and the least expected count over all groups and the least
 #: link that are kept.
@@ -437,7 +437,7 @@ def _paired(rows: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.read.parquet(f"{sf_dir}/lang_names.parquet")
+    names = notations(spark, sf_dir)
     kept = lambda c: F.transform(c, lambda x: x["text"])
     place = lambda c: F.transform(c, lambda x: x["seg_idx"].cast("bigint"))
     scripts = spark.read.parquet(f"{sf_dir}/bilingual_scripts.parquet").where("script_id is not null")

@@ -3,8 +3,9 @@
 A text is the sum of its words' hashed character n-gram vectors, weighted by inverse document frequency and normalised;
 each language has several centroids, found by spherical k-means over labelled texts, and a text takes the language of
 the nearest one by cosine. A dot product with a centroid is a sum over words, so each word's products are computed once and
-remembered, and the vector's own length is taken from a random projection of it. A text farther than REJECT from every centroid, or without language (fewer than LETTERS
-letters, only names, labels, numbers), gets none. Words that occur in most languages alike, as names do, weigh nothing.
+remembered; a text's own length is that of its summed vector. A text farther than REJECT from every centroid, or without
+language (fewer than LETTERS letters, only names, labels, numbers), gets none. Words that occur in most languages alike, as
+names do, weigh nothing. A tenth of the training texts forms no centroid: on it the confidence is calibrated.
 
 The model is fitted on the driver from at most about SAMPLE labelled texts, chosen by a hash of the row; that bound is a
 parameter. A text that another language's centroid claims is left out of its label's clusters, as labels may be wrong.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from segmenta.llm import debris as D
 
-SAMPLE, DIMS, SKETCH, CENTROIDS, LETTERS, REJECT = 20_000, 1 << 14, 64, 3, 6, 0.1
+SAMPLE, DIMS, CENTROIDS, LETTERS, REJECT = 20_000, 1 << 14, 3, 6, 0.1
 #: How much nearer than the record's own language another one must be to claim a piece of it, and how near at least.
 CLAIM, CLAIMED = 0.08, 0.18
 REMEMBERED = 100_000
@@ -65,6 +66,37 @@ def features(word: str) -> tuple[list[int], list[float]]:
     return [h % DIMS for h in hashes], [1.0 if h & 0x10000 else -1.0 for h in hashes]
 
 
+class _Rows:
+    """Ragged arrays of numbers, one after the other, in room that doubles."""
+
+    def __init__(self) -> None:
+        self.start, self.length, self.used = np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int64), 0
+        self.dim, self.value = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.float32)
+
+    def add(self, row: int, dim: np.ndarray, value: np.ndarray) -> None:
+        while row >= len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(dim) > len(self.dim):
+            self.dim, self.value = (np.concatenate([x, np.zeros_like(x)]) for x in (self.dim, self.value))
+        self.start[row], self.length[row] = self.used, len(dim)
+        self.dim[self.used : self.used + len(dim)], self.value[self.used : self.used + len(dim)] = dim, value
+        self.used += len(dim)
+
+    def squares(self, rows: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+        """For each text the squared length of the sum of its rows."""
+        length = self.length[rows]
+        ends = np.cumsum(length)
+        at = np.repeat(self.start[rows] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        if not len(at):
+            return np.zeros(texts)
+        key = np.repeat(text, length) * DIMS + self.dim[at]
+        order = np.argsort(key)
+        key, value = key[order], self.value[at][order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(value.astype(np.float64), first)
+        return np.bincount(key[first] // DIMS, weights=total * total, minlength=texts)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -72,38 +104,37 @@ class Model:
     owner: np.ndarray
     idf: np.ndarray
     neutral: frozenset[str]
+    sharpness: float = 12.0
     row: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
-    projection: np.ndarray | None = None
+    rows: _Rows | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"row": {}, "table": None, "projection": None}
+        return self.__dict__ | {"row": {}, "table": None, "rows": None}
 
     def _learn(self, new: list[str]) -> None:
-        width = len(self.centroids) + SKETCH + 1
-        if self.table is None:
-            self.table = np.zeros((4096, width), dtype=np.float32)
-            self.projection = (np.random.default_rng(7).integers(0, 2, (DIMS, SKETCH)) * 2 - 1).astype(np.float32) / np.float32(math.sqrt(SKETCH))
-        if len(self.row) + len(new) >= REMEMBERED:
+        if self.table is None or len(self.row) + len(new) >= REMEMBERED:
             self.row.clear()
+            self.table, self.rows = np.zeros((4096, len(self.centroids) + 1), dtype=np.float32), _Rows()
         while len(self.row) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         for w in new:
             at = len(self.row)
             self.row[w] = at
-            self.table[at] = 0
             if not _FILLER.fullmatch(w):
                 self.table[at, -1] = len(w)
                 if w not in self.neutral:
                     i, sign = features(w)
-                    value = self.idf[i] * np.asarray(sign, dtype=np.float32)
-                    self.table[at, : -SKETCH - 1] = self.centroids[:, i] @ value
-                    self.table[at, -SKETCH - 1 : -1] = value @ self.projection[i]
+                    dim, where = np.unique(i, return_inverse=True)
+                    value = self.idf[dim] * np.bincount(where, weights=sign).astype(np.float32)
+                    self.table[at, :-1] = self.centroids[:, dim] @ value
+                    self.rows.add(at, dim, value)
 
     def near(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Cosines with the centroids, zeros for a text without language; and each text's letters outside fillers."""
         flat = list(chain.from_iterable(split))
-        out = np.zeros((len(split), len(self.centroids) + SKETCH + 1), dtype=np.float32)
+        out = np.zeros((len(split), len(self.centroids) + 1), dtype=np.float32)
+        square = np.zeros(len(split))
         if flat:
             new = [w for w in dict.fromkeys(flat) if w not in self.row]
             if new:
@@ -112,9 +143,9 @@ class Model:
             count = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
             some = np.flatnonzero(count)
             out[some] = np.add.reduceat(self.table[rows], (np.cumsum(count) - count)[some], axis=0)
-        sketch = out[:, -SKETCH - 1 : -1]
-        length = np.sqrt((sketch * sketch).sum(axis=1, keepdims=True))
-        return np.divide(out[:, : -SKETCH - 1], length, out=np.zeros((len(split), len(self.centroids)), np.float32), where=length > 1e-6), out[:, -1]
+            square = self.rows.squares(rows, np.repeat(np.arange(len(split)), count), len(split))
+        length = np.sqrt(square)[:, None]
+        return np.divide(out[:, :-1], length, out=np.zeros((len(split), len(self.centroids)), np.float32), where=length > 1e-6), out[:, -1]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """For each text its cosine with the nearest centroid of each language; rows of -1 where there is no language,
@@ -130,12 +161,21 @@ class Model:
         return out
 
 
-def confidence(scores: np.ndarray) -> np.ndarray:
-    """Share of the best language among all, by the distances to their nearest centroids."""
-    e = np.exp(12 * (scores - scores.max(axis=1, keepdims=True)))
+def confidence(scores: np.ndarray, sharpness: float) -> np.ndarray:
+    """How probable the best language is among all, by the distances to their nearest centroids."""
+    e = np.exp(sharpness * (scores - scores.max(axis=1, keepdims=True)))
     return 1 / e.sum(axis=1)
 
 
+def sharpest(scores: np.ndarray, label: np.ndarray, steps: tuple[float, ...] = tuple(2.0 * 1.15**k for k in range(30))) -> float:
+    """The sharpness under which the labels of held-out texts are likeliest; of few texts nothing is learned."""
+    if len(label) < 20:
+        return Model.sharpness
+    own = scores - scores.max(axis=1, keepdims=True)
+    loss = [float((np.log(np.exp(k * own).sum(axis=1)) - k * own[np.arange(len(label)), label]).sum()) for k in steps]
+    return steps[int(np.argmin(loss))]
+
+
 class _Vectors:
     """Sparse normalised vectors of the training texts."""
 
@@ -211,27 +251,33 @@ def fit(texts: list[str], labels: list[str], centroids: int = CENTROIDS) -> Mode
         if n.sum() >= 5 and (rate >= 0.2 * rate.max()).sum() >= max(3, 0.6 * len(langs)):
             neutral.add(w)
     v = _Vectors(split, neutral, label, len(langs))
-    mean = np.stack([v.mean(label == i) for i in range(len(langs))])
+    held = np.arange(len(texts)) % 10 == 9
+    mean = np.stack([v.mean(~held & (label == i)) for i in range(len(langs))])
     for _ in range(3):
-        true = v.some & (v.dots(mean).argmax(axis=1) == label)
+        true = v.some & ~held & (v.dots(mean).argmax(axis=1) == label)
         mean = np.stack([v.mean(true & (label == i)) for i in range(len(langs))])
     parts = [v.kmeans(true & (label == i), centroids) for i in range(len(langs))]
-    return Model(langs, np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts]), v.idf, frozenset(neutral))
+    held &= v.some
+    near = np.stack([v.dots(p, held).max(axis=1) for p in parts], axis=1)[held]
+    return Model(langs, np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts]), v.idf, frozenset(neutral), sharpest(near, label[held]))
+
+
+def notations(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The language code of each notation: a list whose length doesn't grow with the data, read on the driver once a query."""
+    return {r.notation: r.lang for r in spark.read.parquet(f"{sf_dir}/lang_names.parquet").select("notation", "lang").collect()}
 
 
-def code(label: Column, names: DataFrame) -> Column:
-    """The language code that a notation names, else null. `names` (lang, notation) is the list of notations, whose
-    length doesn't grow with the data; it is read on the driver."""
-    table = {r.notation: r.lang for r in names.collect()}
+def code(label: Column, table: dict[str, str]) -> Column:
+    """The language code that a notation names, else null."""
     if not table:
         return F.lit(None).cast("string")
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[label]
 
 
-def trained(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
+def trained(spark: SparkSession, sf_dir: str, names: dict[str, str] | None = None, sample: int = SAMPLE) -> Model:
     """Fitted on translated_text by target_lang, of about `sample` rows at most."""
     rows = spark.read.parquet(f"{sf_dir}/translations.parquet")
-    names = spark.read.parquet(f"{sf_dir}/lang_names.parquet")
+    names = notations(spark, sf_dir) if names is None else names
     share = min(1.0, sample / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("trans_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     rows = rows.select(F.col("translated_text").alias("t"), code(F.col("target_lang"), names).alias("l")).where("t is not null and l is not null")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm.langid import CLAIM, CLAIMED, LETTERS, REJECT, Model, code, confidence, trained
+from segmenta.llm.langid import CLAIM, CLAIMED, LETTERS, REJECT, Model, code, confidence, notations, trained
 
 
 def classify(pieces: list[list[str | None] | None], labels: list[str | None], model: Model) -> list[tuple[int, int, str, float, bool]]:
@@ -50,11 +50,11 @@ def classify(pieces: list[list[str | None] | None], labels: list[str | None], mo
             own = model.langs.index(labels[i])
             if mean[r, home[r]] < CLAIMED or mean[r, home[r]] - mean[r, own] <= CLAIM:
                 home[r] = own
-    sure = confidence(mean)
+    sure = confidence(mean, model.sharpness)
     out = [(i, -1, model.langs[home[r]], float(sure[r]), labels[i] != model.langs[home[r]]) for r, i in enumerate(records.tolist())]
     near = s.max(axis=1)
     settled = np.where((near >= CLAIMED) & (near - s[np.arange(len(s)), home[where]] > CLAIM), best, home[where])
-    piece_sure = confidence(s)
+    piece_sure = confidence(s, model.sharpness)
     out += [(owner[k], number[k], model.langs[settled[x]], float(piece_sure[x]), bool(settled[x] != home[where[x]])) for x, k in enumerate(good)]
     return out
 
@@ -74,9 +74,8 @@ def languages(df: DataFrame, model: Model, only_found: bool = False) -> DataFram
     return out.dropDuplicates(["origin", "record_id", "piece_no"])
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, names: dict[str, str]) -> DataFrame:
     """origin, record_id, label, pieces of asr_results, translations and documents."""
-    names = spark.read.parquet(f"{sf_dir}/lang_names.parquet")
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     segments = F.transform("segments", lambda x: x["text"])
     asr = read("asr_results").select(F.lit("asr").alias("origin"), F.col("asr_id").alias("record_id"), code(F.col("asr_lang"), names).alias("label"), F.when(F.size("segments") > 0, segments).otherwise(F.array("text")).alias("pieces"))
@@ -86,11 +85,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(records(spark, sf_dir), trained(spark, sf_dir))
+    names = notations(spark, sf_dir)
+    return languages(records(spark, sf_dir, names), trained(spark, sf_dir, names))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(records(spark, sf_dir), trained(spark, sf_dir), only_found=True).select("origin", "record_id", "piece_no", "lang")
+    names = notations(spark, sf_dir)
+    return languages(records(spark, sf_dir, names), trained(spark, sf_dir, names), only_found=True).select("origin", "record_id", "piece_no", "lang")
 
 
 QUERIES = {"p4_found": p4_found, "p4_languages": p4_languages}

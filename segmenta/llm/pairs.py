@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm.langid import CLAIM, CLAIMED, LETTERS, Model, code, trained
+from segmenta.llm.langid import CLAIM, CLAIMED, LETTERS, Model, code, notations, trained
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 # Stand-ins for no text.
@@ -221,10 +221,10 @@ def defects(df: DataFrame, model: Model, usual: dict[tuple[str, str], int]) -> D
 
 
 def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.read.parquet(f"{sf_dir}/lang_names.parquet")
+    names = notations(spark, sf_dir)
     rows = spark.read.parquet(f"{sf_dir}/translations.parquet").where("trans_id is not null")
     rows = rows.select(F.col("trans_id").alias("id"), F.col("source_text").alias("source"), F.col("translated_text").alias("text"), code(F.col("target_lang"), names).alias("lang"))
-    return defects(rows, trained(spark, sf_dir), endings(rows)).withColumnRenamed("id", "trans_id")
+    return defects(rows, trained(spark, sf_dir, names), endings(rows)).withColumnRenamed("id", "trans_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
