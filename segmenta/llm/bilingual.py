@@ -31,7 +31,7 @@ from segmenta.llm.langid import code, notations
 GROUP_SCRIPTS, ROUNDS, LEAST_COUNT, LEAST_LINK = 4_000, 5, 0.01, 0.02
 #: The score that a pair needs in order, out of order, and to join a clause that is paired already.
 PAIRED, MOVED, JOINED = 0.3, 0.45, 0.6
-#: Pairs of clauses of a document beyond which it is aligned row by row, which needs less memory and gives the same pairs; and
+#: Pairs of clauses, or of words, of a document beyond which it is aligned row by row, which needs less memory and gives the same pairs; and
 #: the letters of a script on average that a group of scripts is laid out for.
 CELLS, SCRIPT_LETTERS = 1 << 20, 2_048
 
@@ -187,6 +187,19 @@ def _places(clauses: list[list[str]]) -> dict[str, list[int]]:
     return out
 
 
+def _incidence(places: dict[str, list[int]], clauses: int) -> np.ndarray:
+    """Which clause (row) has which word (column)."""
+    out = np.zeros((clauses, len(places)))
+    out[[i for mine in places.values() for i in mine], [k for k, mine in enumerate(places.values()) for _ in mine]] = 1.0
+    return out
+
+
+def _large(a: list[list[str]], b: list[list[str]]) -> bool:
+    """Would tables of clauses or words of the two be too large to hold?"""
+    words = lambda cs: len({t for c in cs for t in c})
+    return len(a) * len(b) > CELLS or sum(map(len, a)) * sum(map(len, b)) > CELLS and words(a) * words(b) > CELLS
+
+
 class Lexicon:
     """Links of words {a: {b: (probability of b given a, of a given b)}} and the weights of words of both sides."""
 
@@ -197,26 +210,22 @@ class Lexicon:
         """For each pair of clauses the weighted share of a's words that b translates, and of b's that a does. A word is
         translated as far as the other clause has the words that mostly go with it, all their probabilities together."""
         at_a, at_b = _places(a), _places(b)
-        got_a, got_b = np.zeros((len(at_a), len(b))), np.zeros((len(at_b), len(a)))
         row_b = {u: j for j, u in enumerate(at_b)}
-        for i, (t, mine) in enumerate(at_a.items()):
+        to_b, to_a = np.zeros((len(at_a), len(at_b))), np.zeros((len(at_a), len(at_b)))
+        for i, t in enumerate(at_a):
             known = self.links.get(t, {})
-            # numbers and names are written alike
-            if t in at_b and not _SPACELESS.match(t):
-                known = known | {t: (1.0, 1.0)}
             # the shorter of the two is walked
-            for u in known if len(known) < len(at_b) else at_b:
-                if (theirs := at_b.get(u)) is not None and (link := known.get(u)) is not None:
-                    got_a[i, theirs] += link[0]
-                    got_b[row_b[u], mine] += link[1]
-
-        def shares(got: np.ndarray, places: dict[str, list[int]], n: int, known: dict[str, float]) -> np.ndarray:
-            weights = np.zeros((n, len(places)))
-            for k, (t, mine) in enumerate(places.items()):
-                weights[mine, k] = self.weight(t, known)
-            return weights @ np.minimum(1.0, got) / weights.sum(axis=1)[:, None]
-
-        return shares(got_a, at_a, len(a), self.wa), shares(got_b, at_b, len(b), self.wb).T
+            for u in known if len(known) < len(row_b) else row_b:
+                if (j := row_b.get(u)) is not None and (link := known.get(u)) is not None:
+                    to_b[i, j], to_a[i, j] = link
+            # numbers and names are written alike
+            if (j := row_b.get(t)) is not None and not _SPACELESS.match(t):
+                to_b[i, j] = to_a[i, j] = 1.0
+        in_a, in_b = _incidence(at_a, len(a)), _incidence(at_b, len(b))
+        wa, wb = (in_x * np.array([self.weight(t, known) for t in at]) for in_x, at, known in ((in_a, at_a, self.wa), (in_b, at_b, self.wb)))
+        of_a = wa @ np.minimum(1.0, to_b @ in_b.T) / wa.sum(axis=1)[:, None]
+        of_b = wb @ np.minimum(1.0, to_a.T @ in_a.T) / wb.sum(axis=1)[:, None]
+        return of_a, of_b.T
 
     def rows(self, a: list[list[str]], b: list[list[str]]) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
         """The rows of scores(), each when it is asked for, in memory that grows with the text alone."""
@@ -252,7 +261,7 @@ def align(source: list[str | None], target: list[str | None], lexicon: Lexicon)
     """Places of source and target segments that translate each other."""
     a, oa = clauses(source)
     b, ob = clauses(target)
-    found = (_aligned_by_rows if len(a) * len(b) > CELLS else _aligned)(a, b, lexicon)
+    found = (_aligned_by_rows if _large(a, b) else _aligned)(a, b, lexicon)
     return sorted({(oa[i], ob[j]) for i, j in found})
 
 
