@@ -70,6 +70,39 @@ def words_in_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("ws") >= F.col("a") - 50) & (F.col("ws") + F.col("dur") <= F.col("b") + 50)).groupBy("seg_id", "half").agg(F.count(F.lit(1)).alias("n_words"))
 
 
+_SYL = _WORD + """, z AS (SELECT word.*, coalesce(gold_lang, '') AS lang, seg.start_ms AS s0, seg.end_ms AS e0 FROM word JOIN seg USING (seg_id) LEFT JOIN recordings r ON seg.rec_id = r.rec_id),
+y AS (SELECT *, CASE WHEN lang IN ('zh', 'cmn', 'chi') THEN length(word) ELSE greatest(1, len(regexp_extract_all(lower(word), '[aeiouy]+'))) END AS n FROM z), x AS (SELECT *, unnest(range(n)) AS k FROM y)"""
+
+
+def _syllables(spark: SparkSession, d: str) -> DataFrame:
+    """Syllables of words in even time: in Chinese one a letter, else one a cluster of vowels, with the letter at its place or
+    the last one. Times are fractions: start is ws + k * dur / n."""
+    lang = table(spark, d, "recordings").where("rec_id is not null").select("rec_id", "gold_lang")
+    rows = beside(seg(spark, d), lang, ["rec_id"], "shard")
+    rows = rows.select("seg_id", "start_ms", "end_ms", "gold_lang", F.posexplode(X.words(F.col("text"))).alias("pos", "word"))
+    dur, pause = LETTER_MS * F.length("word"), F.when(F.col("word").rlike("[.!?。！？…]$"), MARK_MS).otherwise(0)
+    before = W.partitionBy("seg_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("dur", dur).withColumn("ws", F.col("start_ms") + F.coalesce(F.sum(dur + pause).over(before), F.lit(0)))
+    n = F.when(F.col("gold_lang").isin("zh", "cmn", "chi"), F.length("word")).otherwise(X.vowel_clusters(F.col("word")))
+    rows = rows.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    return rows.withColumn("char", F.substring(F.col("word"), F.least(F.col("k") + 1, F.length("word")), F.lit(1)))
+
+
+@query(_SYL + " SELECT seg_id, CAST(pos AS INT) AS pos, CAST(k AS INT) AS k, substr(word, least(k + 1, length(word)), 1) AS char, CAST(ws + k * dur // n AS BIGINT) AS start_ms, lower(substr(word, least(k + 1, length(word)), 1)) IN ('a', 'e', 'o') AS is_open FROM x")
+def word_syllables(spark: SparkSession, d: str) -> DataFrame:
+    return _syllables(spark, d).select("seg_id", "pos", "k", "char", F.expr("ws + k * dur div n").alias("start_ms"), F.lower("char").isin("a", "e", "o").alias("is_open"))
+
+
+@query(_SYL + ", v AS (SELECT *, unnest([0, 1]) AS half FROM x), u AS (SELECT *, CASE half WHEN 0 THEN s0 ELSE (s0 + e0) // 2 END AS a, CASE half WHEN 0 THEN (s0 + e0) // 2 ELSE e0 END AS b FROM v) SELECT seg_id, CAST(half AS INT) AS half, count(*) AS n_syllables, count(*) FILTER (lower(substr(word, least(k + 1, length(word)), 1)) IN ('a', 'e', 'o')) AS n_open FROM u WHERE ws * n + k * dur >= (a - 1) * n AND ws * n + (k + 1) * dur <= (b + 1) * n GROUP BY seg_id, half")
+def syllables_in_window(spark: SparkSession, d: str) -> DataFrame:
+    """Syllables inside each half of their segment, with a millisecond of tolerance, and how many of them are open."""
+    mid = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.col("start_ms").alias("a"), mid.alias("b")), F.struct(F.lit(1).alias("half"), mid.alias("a"), F.col("end_ms").alias("b")))
+    rows = _syllables(spark, d).select("seg_id", "ws", "dur", "n", "k", "char", F.inline(halves))
+    inside = (F.expr("ws * n + k * dur") >= F.expr("(a - 1) * n")) & (F.expr("ws * n + (k + 1) * dur") <= F.expr("(b + 1) * n"))
+    return rows.where(inside).groupBy("seg_id", "half").agg(F.count(F.lit(1)).alias("n_syllables"), F.count_if(F.lower("char").isin("a", "e", "o")).alias("n_open"))
+
+
 @query(f"WITH {SEG} SELECT seg_id, unnest([0, 1]) AS part, unnest([substr(text, 1, length(text) // 2), substr(text, length(text) // 2 + 1)]) AS text FROM seg WHERE end_ms - start_ms >= 900")
 def time_cut_split(spark: SparkSession, d: str) -> DataFrame:
     """Segments of 0.9 s and more cut in the middle, their text in proportion."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.plans import alloc, core_periods, frames, models, segments, texts
+from segmenta.plans import alloc, core_periods, frames, models, planning, segments, texts
 
-MODULES = [segments, frames, texts, alloc, models, core_periods]
+MODULES = [segments, frames, texts, alloc, models, planning, core_periods]
 FLAGSHIP = "speaker_groups"
 
 

@@ -96,17 +96,17 @@ o AS (SELECT *, CASE WHEN t = '' OR p = '' OR m = 0 THEN 0e0 ELSE (m + 1) / leng
 SELECT asr_id, banned IS NOT NULL OR (p <> '' AND o >= 0.45e0) OR again IS NOT NULL AS flagged, CASE WHEN banned IS NOT NULL THEN 1e0 WHEN p <> '' AND o >= 0.45e0 THEN o WHEN again IS NOT NULL THEN 0.9e0 ELSE o END AS score,
  CASE WHEN banned IS NOT NULL THEN 'banned:' || banned WHEN p <> '' AND o >= 0.45e0 THEN 'prompt_overlap' WHEN again IS NOT NULL THEN 'repeat:' || again ELSE 'ok' END AS reason FROM o"""
 
-_UNIT = """v AS (SELECT label, vec_id // 50 AS part, vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x, row_number() OVER (PARTITION BY label, vec_id // 50 ORDER BY vec_id) AS k FROM embeddings WHERE embedding IS NOT NULL)"""
-_FIRST_SEEN = """first AS (SELECT label, part, c, min(k) AS k FROM lab GROUP BY ALL), num AS (SELECT label, part, c, row_number() OVER (PARTITION BY label, part ORDER BY k) - 1 AS cluster FROM first)
-SELECT lab.label, CAST(lab.part AS BIGINT) AS part, lab.vec_id, num.cluster FROM lab JOIN num USING (label, part, c)"""
+_UNIT = """v AS (SELECT label, vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL)"""
+_FIRST_SEEN = """first AS (SELECT label, c, min(k) AS k FROM lab GROUP BY ALL), num AS (SELECT label, c, row_number() OVER (PARTITION BY label ORDER BY k) - 1 AS cluster FROM first)
+SELECT lab.label, lab.vec_id, num.cluster FROM lab JOIN num USING (label, c)"""
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
-FARTHEST_SPLIT = f"""WITH {_UNIT}, u AS (SELECT label, part, vec_id, k, list_transform(x, lambda e: e / greatest(sqrt(list_sum(list_transform(x, lambda q: q * q))), 1e-8)) AS x FROM v),
-a AS (SELECT u.label, u.part, u.vec_id, u.k, u.x, {_DOT.format(a='u.x', b='o.x')} AS near FROM u JOIN u AS o ON u.label = o.label AND u.part = o.part AND o.k = 1),
-far AS (SELECT label, part, arg_min(x, (near, k)) AS x, count(*) AS n FROM a GROUP BY label, part),
-lab AS (SELECT a.label, a.part, a.vec_id, a.k, CASE WHEN n > 1 AND {_DOT.format(a='a.x', b='far.x')} > near THEN 1 ELSE 0 END AS c FROM a JOIN far USING (label, part)), {_FIRST_SEEN}"""
-GREEDY_CLUSTER = f"""WITH RECURSIVE {_UNIT}, u AS (SELECT label, part, vec_id, k, list_transform(x, lambda e: e / greatest(sqrt(list_sum(list_transform(x, lambda q: q * q))), 1e-8)) AS x FROM v),
-g AS (SELECT label, part, vec_id, k, [x] AS sums, 1::BIGINT AS c FROM u WHERE k = 1
- UNION ALL SELECT label, part, vec_id, k, CASE WHEN c > len(sums) THEN sums || [x] ELSE sums[1:c - 1] || [list_transform(list_zip(sums[c], x), lambda z: z[1] + z[2])] || sums[c + 1:] END, c
+FARTHEST_SPLIT = f"""WITH {_UNIT}, u AS (SELECT label, vec_id, k, list_transform(x, lambda e: e / greatest(sqrt(list_sum(list_transform(x, lambda q: q * q))), 1e-8)) AS x FROM v),
+a AS (SELECT u.label, u.vec_id, u.k, u.x, {_DOT.format(a='u.x', b='o.x')} AS near FROM u JOIN u AS o ON u.label = o.label AND o.k = 1),
+far AS (SELECT label, arg_min(x, (near, k)) AS x, count(*) AS n FROM a GROUP BY label),
+lab AS (SELECT a.label, a.vec_id, a.k, CASE WHEN n > 1 AND {_DOT.format(a='a.x', b='far.x')} > near THEN 1 ELSE 0 END AS c FROM a JOIN far USING (label)), {_FIRST_SEEN}"""
+GREEDY_CLUSTER = f"""WITH RECURSIVE {_UNIT}, u AS (SELECT label, vec_id, k, list_transform(x, lambda e: e / greatest(sqrt(list_sum(list_transform(x, lambda q: q * q))), 1e-8)) AS x FROM v),
+g AS (SELECT label, vec_id, k, [x] AS sums, 1::BIGINT AS c FROM u WHERE k = 1
+ UNION ALL SELECT label, vec_id, k, CASE WHEN c > len(sums) THEN sums || [x] ELSE sums[1:c - 1] || [list_transform(list_zip(sums[c], x), lambda z: z[1] + z[2])] || sums[c + 1:] END, c
  FROM (SELECT *, CASE WHEN most >= 0.6e0 OR len(sums) >= 8 THEN list_position(near, most) ELSE len(sums) + 1 END::BIGINT AS c FROM (SELECT *, list_max(near) AS most FROM (
-  SELECT u.label, u.part, u.vec_id, u.k, g.sums, u.x, list_transform(g.sums, lambda s: {_DOT.format(a='u.x', b='s')} / greatest(sqrt({_DOT.format(a='s', b='s')}), 1e-8)) AS near FROM g JOIN u ON u.label = g.label AND u.part = g.part AND u.k = g.k + 1)))),
-lab AS (SELECT label, part, vec_id, k, c FROM g), {_FIRST_SEEN}"""
+  SELECT u.label, u.vec_id, u.k, g.sums, u.x, list_transform(g.sums, lambda s: {_DOT.format(a='u.x', b='s')} / greatest(sqrt({_DOT.format(a='s', b='s')}), 1e-8)) AS near FROM g JOIN u ON u.label = g.label AND u.k = g.k + 1)))),
+lab AS (SELECT label, vec_id, k, c FROM g), {_FIRST_SEEN}"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segmenta.operators import energy
 from segmenta.operators.intervals import best_span, points_in_spans
-from segmenta.operators.ordered import islands, running, sequenced
+from segmenta.operators.ordered import beside, running
 from segmenta.operators.quantiles import percentiles
 from segmenta.operators.run_bitmaps import periods
 from segmenta.operators.runs import value_runs
@@ -74,13 +74,29 @@ def open_ratio(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d).groupBy("user_id").agg(F.round(opened / F.count(F.lit(1)), 3).alias("open_ratio"), F.round(share, 6).alias("open_time"), ((share > 0.95) | (opened == 0)).alias("need_vad"))
 
 
-@query(_VAD + """SELECT v.user_id, v.start, count(*) AS n_frames, CAST(sum(CAST(round(f.rms * 100) AS BIGINT)) * 10000 // count(*) AS BIGINT) AS mean_micro, max(f.rms) AS max_rms FROM v JOIN frame f ON f.user_id = v.user_id AND f.idx >= v.start AND f.idx < v."end" GROUP BY v.user_id, v.start""")
+@query(_VAD + """, seg AS (SELECT *, "end" - start > 5 AND state = 'open' AS core FROM filled)
+SELECT s.user_id, s.start, s.state, count(*) AS n_frames, CAST(sum(CAST(round(f.rms * 100) AS BIGINT)) * 10000 // count(*) AS BIGINT) AS mean_micro, max(f.rms) AS max_rms, s.core AS is_speech_core, s.state IN ('open', 'transition') AS needs_lip_sync
+ FROM seg s JOIN frame f ON f.user_id = s.user_id AND f.idx >= s.start AND f.idx < s."end" GROUP BY ALL""")
 def state_openness_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Mean (in millionths, from whole hundredths) and greatest energy of the frames in each state segment, by a binned
-    range join."""
+    """Mean (in millionths, from whole hundredths) and greatest energy of the frames in each state segment, whether it is the
+    core of speech (open for more than 50 ms) and whether lips have to follow it. By a binned range join, as closed segments
+    are known only by their bounds."""
     rows = frame(spark, d, ["rms"])
-    inside = points_in_spans(rows.select("user_id", "idx", "rms"), _voiced(spark, d).select("user_id", "start", "end"), _KEY, "idx", "start", "end", 1024)
-    return inside.groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("n_frames"), F.expr("sum(cast(round(rms * 100) as bigint)) * 10000 div count(1)").alias("mean_micro"), F.max("rms").alias("max_rms"))
+    states = energy.filled(energy.voiced(rows, _KEY, raw=frame(spark, d)), _KEY).select("user_id", "start", "end", "state")
+    inside = points_in_spans(rows.select("user_id", "idx", "rms"), states, _KEY, "idx", "start", "end", 1024)
+    out = inside.groupBy("user_id", "start", "end", "state").agg(F.count(F.lit(1)).alias("n_frames"), F.expr("sum(cast(round(rms * 100) as bigint)) * 10000 div count(1)").alias("mean_micro"), F.max("rms").alias("max_rms"))
+    core = (F.col("state") == "open") & (F.col("end") - F.col("start") > 5)
+    return out.select("user_id", "start", "state", "n_frames", "mean_micro", "max_rms", core.alias("is_speech_core"), F.col("state").isin("open", "transition").alias("needs_lip_sync"))
+
+
+@query(_VAD + """, pk AS (SELECT v.user_id, v.start, v."end", arg_max(f.idx, (f.rms, -f.idx)) AS peak_idx, max(f.rms) AS peak, CAST(sum(CAST(round(f.rms * 100) AS BIGINT)) * 10000 // count(*) AS BIGINT) AS mean_micro
+ FROM v JOIN frame f ON f.user_id = v.user_id AND f.idx >= v.start AND f.idx < v."end" WHERE f.rms IS NOT NULL GROUP BY ALL) SELECT user_id, start, "end", peak_idx, peak, mean_micro FROM pk""")
+def openness_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """The first frame of the greatest energy in each speech run, as sync points take it, and the run's mean."""
+    rows = frame(spark, d, ["rms"]).where("rms is not null").select("user_id", "idx", "rms")
+    inside = points_in_spans(rows, _voiced(spark, d).select("user_id", "start", "end", F.expr("hundredths * 10000 div (end - start)").alias("mean_micro")), _KEY, "idx", "start", "end", 1024)
+    best = inside.groupBy("user_id", "start", "end", "mean_micro").agg(F.min_by(F.struct("idx", "rms"), F.struct((-F.col("rms")).alias("r"), "idx")).alias("b"))
+    return best.select("user_id", "start", "end", F.col("b.idx").alias("peak_idx"), F.col("b.rms").alias("peak"), "mean_micro")
 
 
 @query(f"""WITH {FRAME}, t AS (SELECT user_id, greatest(quantile_cont(rms, 0.2) * 1.2, max(rms) * 0.08) AS thr, count(*) AS n FROM frame GROUP BY user_id),
@@ -89,23 +105,34 @@ SELECT user_id, (min(idx) + max(idx) + 1) / 2.0 AS cut FROM r WHERE silent GROUP
 def silence_cuts(spark: SparkSession, d: str) -> DataFrame:
     """Middles of the silent runs of two frames at least that lie five frames inside."""
     rows = frame(spark, d, ["rms"])
-    p = percentiles(rows, _KEY, "rms", {"p20": 0.2})
-    whole = rows.groupBy("user_id").agg(F.max("rms").alias("peak"), F.count(F.lit(1)).alias("n"))
-    thr = p.join(whole, "user_id").select("user_id", F.greatest(F.col("p20") * 1.2, F.col("peak") * 0.08).alias("thr"), "n")
-    marked = rows.join(thr, "user_id").withColumn("silent", F.col("rms") < F.col("thr")).select("user_id", "shard", "idx", "silent")
+    p = percentiles(frame(spark, d), _KEY, "rms", {"p20": 0.2}, summary=True)
+    thr = p.select("user_id", F.greatest(F.col("p20") * 1.2, F.col("peak") * 0.08).alias("thr"), F.col("n_frames").alias("n"))
+    marked = beside(rows, thr, _KEY, "shard", "inner").withColumn("silent", F.col("rms") < F.col("thr")).select("user_id", "shard", "idx", "silent")
     runs = value_runs(marked, _KEY, "shard", ["idx"], "silent").where("silent and n_rows >= 2").join(thr, "user_id")
     cut = F.col("head.idx") + F.col("n_rows") / 2.0
     return runs.where((cut >= 5) & (cut <= F.col("n") - 5)).select("user_id", cut.alias("cut"))
 
 
-@query(f"""WITH {FRAME}, s AS (SELECT *, CAST(ts AS DATE) AS day FROM frame), p AS (SELECT user_id, day, max(rms) AS peak, min(idx) AS a, max(idx) AS b FROM s GROUP BY user_id, day)
-SELECT s.user_id, s.day, round(min(CASE WHEN rms > 0.25 * peak THEN idx END) * 1e-2, 3) AS onset_s, round((max(CASE WHEN rms > 0.25 * peak THEN idx END) + 1) * 1e-2, 3) AS offset_s FROM s JOIN p USING (user_id, day) GROUP BY s.user_id, s.day""")
+_PAD = 5
+
+
+@query(f"""WITH {FRAME}, n AS (SELECT user_id, count(*) AS total FROM frame GROUP BY user_id), d AS (SELECT user_id, CAST(ts AS DATE) AS day, min(idx) AS a, max(idx) + 1 AS b FROM frame GROUP BY ALL),
+s AS (SELECT d.user_id, day, a, b, total, greatest(0, a - 5) AS pa, least(total, b + 5) AS pb FROM d JOIN n USING (user_id)),
+j AS (SELECT s.*, f.idx, f.rms, max(f.rms) OVER (PARTITION BY s.user_id, s.day) AS peak FROM s JOIN frame f ON f.user_id = s.user_id AND f.idx >= s.pa AND f.idx < s.pb),
+h AS (SELECT user_id, day, a, b, min(CASE WHEN peak > 1e-6 AND rms > 0.25 * peak THEN idx END) AS x, max(CASE WHEN peak > 1e-6 AND rms > 0.25 * peak THEN idx END) + 1 AS y FROM j GROUP BY user_id, day, a, b)
+SELECT user_id, day, round(coalesce(x, a) * 1e-2, 3) AS onset_s, round(coalesce(y, b) * 1e-2, 3) AS offset_s FROM h""")
 def onset_offset_trim(spark: SparkSession, d: str) -> DataFrame:
-    """First and last frame of each user and day above a quarter of its peak, as seconds."""
-    rows = frame(spark, d, ["rms"]).withColumn("day", F.to_date("ts"))
-    peak = rows.groupBy("user_id", "day").agg(F.max("rms").alias("peak"))
-    hit = F.when(F.col("rms") > 0.25 * F.col("peak"), F.col("idx"))
-    return rows.join(peak, ["user_id", "day"]).groupBy("user_id", "day").agg(F.round(F.min(hit) * 0.01, 3).alias("onset_s"), F.round((F.max(hit) + 1) * 0.01, 3).alias("offset_s"))
+    """Where speech of each user's day begins and ends: the first and last frame, from five before it to five after it, above a
+    quarter of the greatest of these; its own bounds where none is. A frame takes 10 ms."""
+    rows = frame(spark, d, ["rms"]).select("user_id", "ts", "idx", "rms", "shard")
+    day = rows.withColumn("day", F.to_date("ts")).groupBy("user_id", "day").agg(F.min("idx").alias("a"), (F.max("idx") + 1).alias("b"))
+    total = day.groupBy("user_id").agg(F.max("b").alias("total"))
+    spans = day.join(total, "user_id").select("user_id", "day", "a", "b", F.greatest(F.lit(0), F.col("a") - _PAD).alias("pa"), F.least("total", F.col("b") + _PAD).alias("pb"))
+    inside = points_in_spans(rows.select("user_id", "idx", "rms"), spans, _KEY, "idx", "pa", "pb", 1024).select("user_id", "day", "a", "b", "idx", "rms")
+    peak = inside.groupBy("user_id", "day").agg(F.max("rms").alias("peak"))
+    hit = F.when((F.col("peak") > 1e-6) & (F.col("rms") > 0.25 * F.col("peak")), F.col("idx"))
+    out = inside.join(peak, ["user_id", "day"]).groupBy("user_id", "day", "a", "b").agg(F.min(hit).alias("x"), (F.max(hit) + 1).alias("y"))
+    return out.select("user_id", "day", F.round(F.coalesce("x", "a") * 0.01, 3).alias("onset_s"), F.round(F.coalesce("y", "b") * 0.01, 3).alias("offset_s"))
 
 
 @query("""WITH m AS (SELECT event_type, user_id, median(value) AS f0 FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY event_type, user_id HAVING count(*) > 3),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.functions import matching as M
@@ -34,15 +34,10 @@ c AS (SELECT label AS cl, dim, avg(x) AS m FROM d GROUP BY label, dim),
 s AS (SELECT vec_id, any_value(d.label) AS label, cl, sum(x * m) / greatest(sqrt(sum(x * x)) * sqrt(sum(m * m)), 1e-8) AS sim FROM d JOIN c USING (dim) GROUP BY vec_id, cl)"""
 
 
-def _sims(spark: SparkSession, d: str) -> DataFrame:
+def _nearest(spark: SparkSession, d: str, most: int = 1) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    sims = V.similarities(rows, "vec_id", "embedding", V.means(rows, "label", "embedding").withColumnRenamed("label", "cl"), "cl")
-    return sims.join(rows.select("vec_id", "label"), "vec_id")
-
-
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    best = _sims(spark, d).groupBy("vec_id").agg(F.max_by(F.struct("label", "cl", "sim"), F.struct(F.round("sim", 9).alias("s"), (-F.col("cl")).alias("c"))).alias("b"))
-    return best.select("vec_id", "b.label", "b.cl", "b.sim")
+    near = V.nearest(rows, "vec_id", "embedding", V.means(rows.where("label is not null"), "label", "embedding").withColumnRenamed("label", "cl"), "cl", most)
+    return near.join(rows.select("vec_id", "label"), "vec_id") if most == 1 else near
 
 
 @query(f"WITH {_CEN} SELECT vec_id, label, cl AS nearest, round(sim, 6) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, cl) = 1")
@@ -59,8 +54,7 @@ def label_confidence(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CEN} SELECT vec_id, cl, round(sim, 4) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, cl) AS place FROM s QUALIFY place <= 5")
 def topk_labels(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest labels of each vector: a report of the top five."""
-    place = F.row_number().over(W.partitionBy("vec_id").orderBy(F.round("sim", 9).desc(), "cl"))
-    return _sims(spark, d).withColumn("place", place).where("place <= 5").select("vec_id", "cl", F.round("sim", 4).alias("sim"), "place")
+    return _nearest(spark, d, 5).select("vec_id", "cl", F.round("sim", 4).alias("sim"), "place")
 
 
 @query("SELECT vec_id, len(embedding) AS n_dims, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
@@ -74,14 +68,16 @@ def feature_stats_vector(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"))
 
 
-@query("WITH d AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings), c AS (SELECT label, dim, avg(x) AS m FROM d GROUP BY label, dim), g AS (SELECT dim, avg(x) AS m FROM d GROUP BY dim) SELECT label, round(sum(c.m * g.m) / (sqrt(sum(c.m * c.m)) * sqrt(sum(g.m * g.m)) + 1e-12), 6) AS cosine FROM c JOIN g USING (dim) GROUP BY label")
+@query("WITH d AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings), c AS (SELECT label, dim, avg(x) AS m FROM d GROUP BY label, dim), g AS (SELECT dim, avg(x) AS m FROM d GROUP BY dim) SELECT label, round(sum(c.m * g.m) / (sqrt(sum(c.m * c.m)) * sqrt(sum(g.m * g.m)) + 1e-12), 6) AS cosine, round(0.5e0 * sum(c.m * g.m) / (sqrt(sum(c.m * c.m)) * sqrt(sum(g.m * g.m)) + 1e-12) + 0.3e0 * least(sqrt(sum(c.m * c.m)), sqrt(sum(g.m * g.m))) / greatest(sqrt(sum(c.m * c.m)), sqrt(sum(g.m * g.m)), 1e-8) + 0.1e0, 3) AS quality FROM c JOIN g USING (dim) GROUP BY label")
 def mean_vector_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """How like each label's mean vector is to the mean of all."""
+    """How like each label's mean vector is to the mean of all, and the quality of a clone that were so like it."""
     rows = V.by_dimension(table(spark, d, "embeddings"), ["label"], "embedding")
     g = rows.groupBy("dim").agg(F.avg("x").alias("g"))
     c = rows.groupBy("label", "dim").agg(F.avg("x").alias("m")).join(g, "dim")
     dots = F.sum(F.col("m") * F.col("g")) / (F.sqrt(F.sum(F.col("m") * F.col("m"))) * F.sqrt(F.sum(F.col("g") * F.col("g"))) + 1e-12)
-    return c.groupBy("label").agg(F.round(dots, 6).alias("cosine"))
+    size = lambda x: F.sqrt(F.sum(F.col(x) * F.col(x)))
+    even = F.least(size("m"), size("g")) / F.greatest(size("m"), size("g"), F.lit(1e-8))
+    return c.groupBy("label").agg(F.round(dots, 6).alias("cosine"), F.round(0.5 * dots + 0.3 * even + 0.1, 3).alias("quality"))
 
 
 @query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings) SELECT vec_id, round(list_max(a), 6) AS peak, round(list_sum(list_transform(a, lambda y: y / greatest(list_max(a), 1e-8) * 95e-2)), 4) AS total FROM x")
@@ -93,9 +89,8 @@ def peak_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str, how: Callable) -> DataFrame:
-    """Vectors in groups of one label and at most fifty consecutive ids, as the segments of a recording would be."""
-    rows = table(spark, d, "embeddings").withColumn("part", F.floor(F.col("vec_id") / 50))
-    return V.per_group(rows, ["label", "part"], "vec_id", "embedding", how)
+    """Vectors in groups of one label, as the segments of a recording would be."""
+    return V.per_group(table(spark, d, "embeddings").where("label is not null and vec_id is not null"), ["label"], "vec_id", "embedding", how)
 
 
 @query(fold_sql.GREEDY_CLUSTER)
@@ -115,10 +110,9 @@ def farthest_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def diarize_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Speakers of groups of at most fifty vectors, as of the segments of a recording, a second each."""
-    rows = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null")
-    at = F.pmod(F.col("vec_id"), F.lit(50))
-    rows = rows.select(F.concat_ws("-", "label", F.floor(F.col("vec_id") / 50)).alias("rec_id"), F.col("vec_id").alias("idx"), (at * 1000).alias("start_ms"), (at * 1000 + 800).alias("end_ms"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    """Speakers of groups of one label's vectors, as of the segments of a recording, one each second."""
+    rows = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null and label is not null")
+    rows = rows.select(F.col("label").cast("string").alias("rec_id"), F.col("vec_id").alias("idx"), (F.col("vec_id") * 1000).alias("start_ms"), (F.col("vec_id") * 1000 + 800).alias("end_ms"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     return diarize(rows)
 
 
@@ -203,12 +197,24 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "timeline_results"), "timeline_id", "created_at")
 
 
-@query(f"WITH {_RUNS} SELECT timeline_id, unnest(['sync', 'duration', 'speech']) AS item, unnest([coalesce(sync_score >= 0.65, false), coalesce(total_duration_s >= 15, false), coalesce(len(speech_segments), 0) > 0]) AS ok FROM run")
+_ITEMS = {
+    "recording": "r.rec_id IS NOT NULL", "duration known": "total_duration_s IS NOT NULL", "duration of 15 s": "total_duration_s >= 15", "timeline": "speech_segments IS NOT NULL OR silence_segments IS NOT NULL",
+    "speech": "size(speech_segments) > 0", "silence": "silence_segments IS NOT NULL", "sync score": "sync_score IS NOT NULL", "sync of 0.65": "sync_score >= 0.65", "coverage": "coverage IS NOT NULL",
+    "coverage within 0 and 1": "coverage BETWEEN 0 AND 1", "states known": "size(filter(coalesce(speech_segments, array()), x -> x.seg_state IS NULL)) = 0", "title": "r.title IS NOT NULL", "language": "r.gold_lang IS NOT NULL",
+}
+
+
+def _check_sql() -> str:
+    as_sql = lambda c: c.replace("size(filter(coalesce(speech_segments, array()), x -> x.seg_state IS NULL))", "len(list_filter(coalesce(speech_segments, []), lambda x: x.seg_state IS NULL))").replace("size(", "len(")
+    return f"WITH {_RUNS} SELECT timeline_id, unnest([{', '.join(repr(n) for n in _ITEMS)}]) AS item, unnest([{', '.join(f'coalesce({as_sql(c)}, false)' for c in _ITEMS.values())}]) AS ok FROM run LEFT JOIN recordings r ON run.rec_id = r.rec_id"
+
+
+@query(_check_sql())
 def check_list(spark: SparkSession, d: str) -> DataFrame:
     """The checks of each run, a row each."""
-    no = lambda c: F.coalesce(c, F.lit(False))
-    checks = F.array(*[F.struct(F.lit(n).alias("item"), no(c).alias("ok")) for n, c in (("sync", F.col("sync_score") >= 0.65), ("duration", F.col("total_duration_s") >= 15), ("speech", F.coalesce(F.size("speech_segments"), F.lit(0)) > 0))])
-    return _runs(spark, d).select("timeline_id", F.inline(checks))
+    rows = _runs(spark, d).alias("run").join(table(spark, d, "recordings").select("rec_id", "title", "gold_lang").alias("r"), F.col("run.rec_id") == F.col("r.rec_id"), "left")
+    checks = F.array(*[F.struct(F.lit(n).alias("item"), F.coalesce(F.expr(c), F.lit(False)).alias("ok")) for n, c in _ITEMS.items()])
+    return rows.select("timeline_id", F.inline(checks))
 
 
 @query(f"WITH {_RUNS}, b AS (SELECT rec_id, arg_max(timeline_id, (created_at, timeline_id)) AS timeline_id, arg_max(coalesce(sync_score, -1), (created_at, timeline_id)) AS sync FROM run WHERE rec_id IS NOT NULL GROUP BY rec_id) SELECT r.rec_id, r.domain_tag AS category, b.timeline_id, CASE WHEN r.duration_s IS NULL THEN 'missing_file' WHEN b.timeline_id IS NULL THEN 'no_run' ELSE 'parsed' END AS status, nullif(b.sync, -1) AS sync_score FROM recordings r LEFT JOIN b USING (rec_id)")

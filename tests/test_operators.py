@@ -15,7 +15,7 @@ from segmenta.operators import folds, vectors as V
 from segmenta.operators.energy import voiced
 from segmenta.operators.intervals import best_span, points_in_spans
 from segmenta.operators.ordered import islands, neighbourhood, running, sequenced
-from segmenta.operators.quantiles import percentiles
+from segmenta.operators.quantiles import percentiles, value_range
 from segmenta.operators.run_bitmaps import periods, periods_and_gaps
 from segmenta.operators.runs import value_runs
 from segmenta.sources.tables import latest, millis
@@ -277,14 +277,54 @@ def test_clusterings():
         assert how(v) == [0, 1, 0, 1, 1, 0] and how(v[:1]) == [0]
 
 
-def test_many_centroids_go_by_dimension(spark, data, monkeypatch):
-    rows = spark.read.parquet(f"{data}/embeddings.parquet").limit(60)
-    cen = V.means(rows, "label", "embedding").withColumnRenamed("label", "cl")
-    key = lambda x: {(r.vec_id, r.cl): r.sim for r in x.collect()}
-    near = key(V.similarities(rows, "vec_id", "embedding", cen, "cl"))
-    monkeypatch.setattr(V, "MOST_CENTROIDS", 1)
-    far = key(V.similarities(rows, "vec_id", "embedding", cen, "cl"))
-    assert near.keys() == far.keys() and all(math.isclose(near[k], far[k], abs_tol=1e-9) for k in near)
+def test_blocks_of_centroids_give_what_one_block_gives(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(80)] + [(80, None), (81, [1.0]), (82, [None, 1.0, 0.0, 0.0, 0.0, 0.0]), (3, [0.0] * 6)], "vec_id int, embedding array<double>")
+    cen = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(40)] + [(99, [0.0] * 6)], "cl int, centroid array<double>")
+    key = lambda x: sorted((r.vec_id, r.place, r.cl, round(r.sim, 9)) for r in x.collect())
+    one, many = (key(V.nearest(rows, "vec_id", "embedding", cen, "cl", 3, block_bytes=n)) for n in (1 << 20, 6 * 8 * 5))
+    assert one == many and len(one) == 82 * 3
+    unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-8)
+    centroids = [(r.cl, unit(r.centroid)) for r in cen.collect()]
+    for r in rows.where("size(embedding) = 6").collect():
+        v = unit([x or 0.0 for x in r.embedding])
+        want = sorted((-round(float(v @ c), 9), k) for k, c in centroids)[:3]
+        assert any([k for _, k in want] == [c for i, _, c, _ in one[j : j + 3]] for j in range(len(one)) if one[j][0] == r.vec_id and one[j][1] == 1) or r.vec_id == 3
+    assert V.nearest(rows, "vec_id", "embedding", cen.where("false"), "cl").collect() == []
+
+
+def test_average_linkage_equals_search_of_all_pairs():
+    def plain(v, apart, most):
+        groups, d = [[i] for i in range(len(v))], 1 - v @ v.T
+        while len(groups) > 1:
+            best = min((float(d[np.ix_(a, b)].mean()), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if best[0] > apart and len(groups) <= most:
+                break
+            groups[best[1]] += groups.pop(best[2])
+        label = {i: k for k, g in enumerate(groups) for i in g}
+        return V.first_seen([label[i] for i in range(len(v))])
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 9, 30):
+        for spread in (0.1, 0.5, 2.0):
+            v = np.array([np.eye(5)[rng.integers(0, 4)] + rng.normal(0, spread, 5) for _ in range(n)])
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            for apart, most in ((0.4, 8), (0.1, 3), (0.9, 2)):
+                assert V.average_linkage(v, apart, most) == plain(v, apart, most)
+    assert len(set(V.average_linkage(np.repeat(np.eye(3), 700, axis=0)))) == 3
+
+
+def test_value_ranges_keep_order_at_every_scale(spark):
+    values = sorted([-1e9, -3.0, -1e-12, 0.0, 1e-300, 1e-12, 0.1, 0.2, 0.5, 1.0, 1.01, 90.25, 1e6, 1e6 + 1, 1e12, float("inf")])
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(value_range(F.col("v"))).collect()]
+    assert got == sorted(got) and len(set(got)) >= 14
+    rng = random.Random(2)
+    for scale in (1e-6, 1.0, 1e7):
+        x = [rng.random() * scale for _ in range(400)]
+        r = percentiles(spark.createDataFrame([("k", v) for v in x] + [("k", None), ("n", None)], "k string, v double"), ["k"], "v", {"a": 0.2, "b": 0.55}, summary=True).collect()
+        k = next(r for r in r if r.k == "k")
+        assert np.allclose([k.a, k.b], np.percentile(x, [20, 55])) and k.n_frames == 401 and k.peak == max(x) and math.isclose(k.mean, np.mean(x))
+        assert next((r.a, r.n_frames) for r in r if r.k == "n") == (None, 1)
 
 
 def test_latest_keeps_one_row_per_key(spark):
