@@ -28,6 +28,33 @@ def openness(states: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "state_segments", F.round(F.col("n") / F.greatest(F.size("state_segments"), F.lit(1)), 3).alias("open_ratio"))
 
 
+def timeline_sync(runs: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """key, sync_score and speech_segments (start, end, state, openness) in order, of runs (key, sync_score)."""
+    own = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "state", "openness"))).alias("speech_segments"))
+    return runs.select(key, "sync_score").join(own, key, "left").withColumn("speech_segments", F.coalesce("speech_segments", F.array()))
+
+
+def translation_lines(seg: DataFrame) -> DataFrame:
+    """rec_id, idx, line: source and translation of each segment that has either."""
+    some = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    return seg.where((some("text") != "") | (some("tgt") != "")).select("rec_id", "idx", F.concat(some("text"), F.lit("\n -> "), some("tgt")).alias("line"))
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
+    """A checkpoint table with new rows over it: of each key the row of the latest version, the new one of equals."""
+    both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)), allowMissingColumns=True)
+    names = [c for c in both.columns if c not in (key, "_n")]
+    last = F.max_by(F.struct(*names), F.struct(F.col(version), "_n"))
+    return both.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in names])
+
+
+def score_report(scores: DataFrame, columns: list[str], order: Column, passed: Column) -> DataFrame:
+    """A table of scores as lines of Markdown, and a last line with how many passed."""
+    table = markdown(scores.withColumn("passed", passed), [*columns, "passed"], order)
+    n = scores.agg(F.count_if(passed).alias("p"), F.count(F.lit(1)).alias("n")).select(F.format_string("%d of %d passed", "p", "n").alias("line"))
+    return table.unionByName(n)
+
+
 def summary(runs: DataFrame) -> DataFrame:
     """rec_id, value: the labelled lines that `sources.files.summaries` reads."""
     shown = lambda c, f: F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c)))

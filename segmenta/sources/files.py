@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([tuple(s.get(n) for n in names) for s in samples], MANIFEST)
 
 
-def config(path: str, *overlays: dict) -> dict:
-    """A YAML configuration with overlays on top, the last first; null values don't count."""
+def config(path: str, *overlays: dict, paths: tuple[str, ...] = ()) -> dict:
+    """A YAML configuration with overlays on top, the last first; null values don't count. Relative values of the settings
+    named in `paths` (a.b.c) are taken from the configuration's folder."""
     import yaml
 
     def merge(a: dict, b: dict) -> dict:
@@ -61,6 +63,13 @@ def config(path: str, *overlays: dict) -> dict:
     out = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     for o in overlays:
         out = merge(out, o)
+    for name in paths:
+        *outer, last = name.split(".")
+        at = out
+        for part in outer:
+            at = at.get(part) or {}
+        if isinstance(at.get(last), str) and not Path(at[last]).is_absolute():
+            at[last] = str(Path(path).resolve().parent / at[last])
     return out
 
 
@@ -93,18 +102,58 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.where("has_summary and n_segments > 0").orderBy(F.col("run_dir").desc()).limit(1)
 
 
-def media(spark: SparkSession, path: str, decode) -> DataFrame:
-    """path, sample_rate, samples of media files, by a decoder (bytes) -> (sample rate, samples) that the caller brings."""
+def resampled(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """Samples at another rate, between two by a straight line; channels (columns) become one by their mean."""
+    mono = samples.mean(axis=1) if samples.ndim > 1 else samples
+    if rate == target or not len(mono):
+        return mono
+    n = max(1, round(len(mono) * target / rate))
+    return np.interp(np.arange(n) * (rate / target), np.arange(len(mono)), mono)
+
+
+def media(spark: SparkSession, path: str, decode, target_rate: int | None = None) -> DataFrame:
+    """path, sample_rate, samples of media files, by a decoder (bytes) -> (sample rate, samples, of one channel or a row of
+    channels each) that the caller brings; at target_rate if it is given."""
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [decode(bytes(c)) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "sample_rate": [g[0] for g in got], "samples": [list(map(float, g[1])) for g in got]})
+            made = [resampled(np.asarray(s, dtype=float), r, target_rate or r) for r, s in got]
+            yield pd.DataFrame({"path": batch["path"], "sample_rate": [target_rate or r for r, _ in got], "samples": [m.tolist() for m in made]})
 
     return rows.mapInPandas(run, "path string, sample_rate int, samples array<double>")
 
 
+def demuxed(spark: SparkSession, path: str, extract, again=None, target_rate: int | None = None) -> DataFrame:
+    """As media, of the sound of videos: `extract` (bytes) -> (sample rate, samples); where it fails `again` is tried, as
+    without filters, and where that fails too the row has no samples."""
+
+    def decode(content: bytes):
+        for f in (extract, again):
+            try:
+                if f is not None:
+                    return f(content)
+            except Exception:  # noqa: BLE001, S112 - a decoder may fail in any way
+                continue
+        return target_rate or 16_000, []
+
+    return media(spark, path, decode, target_rate)
+
+
+def run_segments(spark: SparkSession, path: str) -> DataFrame:
+    """run_dir and the source text of runs' segments.json: the segments' sources in order, blank ones skipped, by spaces."""
+    rows = spark.read.schema("segments array<struct<index:int, source:string>>").option("multiLine", True).json(path)
+    own = F.filter(F.transform(F.coalesce("segments", F.array()), lambda s: F.trim(F.coalesce(s["source"], F.lit("")))), lambda t: t != "")
+    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("run_dir"), F.array_join(own, " ").alias("text"), F.coalesce(F.size("segments"), F.lit(0)).alias("n_segments"))
+
+
+def samples(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """A list of samples (name, ...) with `exists`: whether a file (path) of that name is there."""
+    there = files.select(F.regexp_replace("path", r"^.*[/\\]", "").alias("name")).distinct().withColumn("_there", F.lit(True))
+    return listed.join(there, "name", "left").withColumn("exists", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def frames(signal: DataFrame, hop_ms: int = 10) -> DataFrame:
     """path, idx, rms: the energy of each hop of a signal (path, sample_rate, samples)."""
     hop = F.greatest(F.lit(1), (F.col("sample_rate") * hop_ms / 1000).cast("int"))

@@ -228,6 +228,17 @@ def test_blank_translations_are_made_again():
     g = [("A", "a", ""), ("A", "b", ""), ("A", "c", "C"), ("A", "d", "D"), ("B", "e", ""), ("A", "f", "F")]
     out = folds.empties_retried([dict(zip(("speaker", "text", "tgt"), x, strict=True)) for x in g], str.upper)
     assert [x["tgt"] for x in out] == ["ABC", "", "", "D", "", "F"]
+    # where the joint attempt fails, the rest of the bundle tries by itself
+    out = folds.empties_retried([dict(zip(("speaker", "text", "tgt"), x, strict=True)) for x in g[:3]], lambda s: "" if s.startswith("a") else s)
+    assert [(x["tgt"], x["retried"]) for x in out] == [("", False), ("bc", True), ("", True)]
+
+
+def test_blank_groups_over_shards_equal_one_fold(spark):
+    rng = random.Random(11)
+    rows = [("r", i // 5, i, rng.choice("AAB"), f"t{i}", rng.choice(["", "", "x"])) for i in range(120)]
+    want = folds.empties_retried([dict(zip(("rec_id", "shard", "grp", "speaker", "text", "tgt"), r, strict=True)) for r in rows], str.upper)
+    got = folds.retry_empty(spark.createDataFrame(rows, "rec_id string, shard bigint, grp bigint, speaker string, text string, tgt string"), str.upper).collect()
+    assert sorted((r.grp, r.tgt, r.retried) for r in got) == [(w["grp"], w["tgt"], w["retried"]) for w in want]
 
 
 def test_text_chunks(spark):
