@@ -103,12 +103,20 @@ def syllables_in_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(inside).groupBy("seg_id", "half").agg(F.count(F.lit(1)).alias("n_syllables"), F.count_if(F.lower("char").isin("a", "e", "o")).alias("n_open"))
 
 
-@query(f"WITH {SEG} SELECT seg_id, unnest([0, 1]) AS part, unnest([substr(text, 1, length(text) // 2), substr(text, length(text) // 2 + 1)]) AS text FROM seg WHERE end_ms - start_ms >= 900")
+#: The longest part of a segment, and the least, in milliseconds.
+LONGEST_MS, LEAST_MS = 2_800, 450
+
+
+@query(f"""WITH {SEG}, n AS (SELECT seg_id, text, start_ms, end_ms - start_ms AS dur, CAST(ceil((end_ms - start_ms) / 2800e0) AS BIGINT) AS n FROM seg), p AS (SELECT *, unnest(range(n)) AS k FROM n WHERE n > 1)
+SELECT seg_id, CAST(k AS INT) AS part, start_ms + dur * k // n AS start_ms, start_ms + dur * (k + 1) // n AS end_ms, coalesce(nullif(trim(substr(text, CAST(length(text) * k // n + 1 AS BIGINT), CAST(length(text) * (k + 1) // n - length(text) * k // n AS BIGINT)), ' '), ''), text) AS text FROM p""")
 def time_cut_split(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of 0.9 s and more cut in the middle, their text in proportion."""
-    n = F.floor(F.length("text") / 2).cast("int")
-    parts = F.array(F.substring(F.col("text"), F.lit(1), n), F.substring(F.col("text"), n + 1, F.length("text")))
-    return seg(spark, d).where("end_ms - start_ms >= 900").select("seg_id", F.posexplode(parts).alias("part", "text"))
+    """Segments that are too long cut into equal parts that aren't, their text in proportion; a part whose share of the text
+    is blank keeps all of it. No part is shorter than the least, as the longest is more than twice that."""
+    rows = seg(spark, d).withColumn("dur", F.col("end_ms") - F.col("start_ms")).withColumn("n", F.ceil(F.col("dur") / LONGEST_MS)).where("n > 1")
+    rows = rows.select("seg_id", "text", "start_ms", "dur", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("part"))
+    at = lambda k: f"cast(length(text) * cast({k} as bigint) div n as int)"
+    own = F.trim(F.expr(f"substring(text, {at('part')} + 1, {at('(part + 1)')} - {at('part')})"))
+    return rows.select("seg_id", "part", F.expr("start_ms + dur * part div n").alias("start_ms"), F.expr("start_ms + dur * (part + 1) div n").alias("end_ms"), F.coalesce(F.nullif(own, F.lit("")), "text").alias("text"))
 
 
 _LANG = "rl AS (SELECT rec_id, gold_lang FROM recordings)"

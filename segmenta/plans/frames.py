@@ -11,7 +11,7 @@ from segmenta.operators.ordered import beside, running
 from segmenta.operators.quantiles import percentiles
 from segmenta.operators.run_bitmaps import periods
 from segmenta.operators.runs import value_runs
-from segmenta.plans.base import FRAME, FRAME_ORDER, SEG, frame, seg
+from segmenta.plans.base import FRAME, FRAME_ORDER, MEMO, SEG, frame, memo, seg
 from segmenta.sources.tables import latest, millis, table
 
 QUERIES, SQL = {}, {}
@@ -243,12 +243,20 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).where("end_ms > start_ms").withColumn("kind", kind)
 
 
-@query(f"WITH {_SPLIT} SELECT timeline_id, kind, CASE WHEN kind = 'speech' THEN start_ms * 9 // 10 ELSE start_ms END AS start_ms, CASE WHEN kind = 'speech' THEN end_ms * 9 // 10 ELSE end_ms END AS end_ms, kind = 'speech' AS is_scaled FROM cls WHERE kind IS NOT NULL")
+_RATIO = f"""{MEMO}, m AS (SELECT rec_id, sum(target_syllables) AS t, sum(source_syllables) AS s FROM memo WHERE rec_id IS NOT NULL AND source_syllables IS NOT NULL AND target_syllables IS NOT NULL GROUP BY rec_id HAVING sum(source_syllables) > 0),
+tr AS (SELECT DISTINCT timeline_id, rec_id FROM line0 WHERE rn = 1)"""
+
+
+@query(f"WITH {_SPLIT}, {_RATIO} SELECT timeline_id, kind, CASE WHEN kind = 'speech' AND s IS NOT NULL THEN CAST(start_ms * t // s AS BIGINT) ELSE start_ms END AS start_ms, CASE WHEN kind = 'speech' AND s IS NOT NULL THEN CAST(end_ms * t // s AS BIGINT) ELSE end_ms END AS end_ms, kind = 'speech' AND s IS NOT NULL AS is_scaled FROM cls JOIN tr USING (timeline_id) LEFT JOIN m USING (rec_id) WHERE kind IS NOT NULL")
 def speech_silence_scaled(spark: SparkSession, d: str) -> DataFrame:
-    """Speech and silence of a timeline; speech is scaled to nine tenths, silence is not, which a flag says."""
-    speech = F.col("kind") == "speech"
-    scaled = lambda c: F.when(speech, F.floor(F.col(c) * 9 / 10).cast("bigint")).otherwise(F.col(c)).alias(c)
-    return _split(spark, d).where("kind is not null").select("timeline_id", "kind", scaled("start_ms"), scaled("end_ms"), speech.alias("is_scaled"))
+    """Speech and silence of a timeline; speech is scaled by the syllables of its recording's translations over those of their
+    sources, where these are known, silence is not, which a flag says."""
+    speech = (F.col("kind") == "speech") & F.col("s").isNotNull()
+    scaled = lambda c: F.when(speech, F.expr(f"cast(floor({c} * t / s) as bigint)")).otherwise(F.col(c)).alias(c)
+    m = memo(spark, d).where("rec_id is not null and source_syllables is not null and target_syllables is not null").groupBy("rec_id").agg(F.sum("target_syllables").alias("t"), F.sum("source_syllables").alias("s")).where("s > 0")
+    runs = latest(table(spark, d, "timeline_results").select("timeline_id", "rec_id", "created_at"), "timeline_id", "created_at").select("timeline_id", "rec_id")
+    rows = _split(spark, d).where("kind is not null").join(runs.join(m, "rec_id", "left").select("timeline_id", "t", "s"), "timeline_id", "left")
+    return rows.select("timeline_id", "kind", scaled("start_ms"), scaled("end_ms"), speech.alias("is_scaled"))
 
 
 _POINTS = f"""{_SPLIT}, sp AS (SELECT * FROM cls WHERE kind = 'speech'),

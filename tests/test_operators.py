@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmenta import models, pipeline, sinks
-from segmenta.functions import labels, matching, phonemes, phrases, rewrite, text as X
+from segmenta.functions import labels, matching, phonemes, phrases, rewrite, signal, text as X
 from segmenta.functions.phrases import features
 from segmenta.operators import folds, vectors as V
 from segmenta.operators.energy import voiced
@@ -415,3 +415,12 @@ def test_phonemes(spark):
     for r, (_, final, kind, value) in zip(df.select(phonemes.final(p), phonemes.openness(p)).collect(), cases, strict=True):
         if kind:
             assert (r[0], r[1]["class"], r[1]["openness"]) == (final, kind, value)
+
+
+def test_signals(spark):
+    df = spark.createDataFrame([([0.5, -0.25], [1.0, 1.0, 9.0]), ([0.0, 0.0], [4.0]), ([], []), (None, [1.0])], "a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(signal.normalised(a, 0.0), signal.mixed(a, b), signal.crossings(a), signal.duration(a, F.lit(4))).collect()
+    assert [r[0] for r in got] == [[1.0, -0.5], [0.0, 0.0], [], None]
+    assert [r[1] for r in got] == [[0.75, 0.375], [1.0], [], None]
+    assert [r[2] for r in got] == [1.0, 0.0, None, None] and got[0][3] == 0.5
