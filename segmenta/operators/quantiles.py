@@ -12,8 +12,8 @@ RANGES = 256
 def value_range(v: Column) -> Column:
     """The range that a number lies in: an order of ranges whose widths are in proportion to their values, so that it takes
     no knowledge of the scale. NaN, which sorts last, lies in the last."""
-    far = F.lit(1 << 40)
-    return F.when(F.isnan(v), far).when(v > 0, (1 << 30) + F.floor(F.log2(v) * RANGES)).when(v < 0, -(1 << 30) - F.floor(F.log2(-v) * RANGES)).otherwise(0).cast("bigint")
+    size = lambda x: F.floor(F.least(F.log2(x), F.lit(1100.0)) * RANGES)  # noqa: E731 - infinity lies beyond all others
+    return F.when(F.isnan(v), 1 << 40).when(v > 0, (1 << 30) + size(v)).when(v < 0, -(1 << 30) - size(-v)).otherwise(0).cast("bigint")
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], summary: bool = False) -> DataFrame:
