@@ -10,6 +10,7 @@ from segmenta.functions import rewrite as Y
 from segmenta.operators import energy, folds
 from segmenta.operators import islands as I
 from segmenta.operators.ordered import beside, running, sequenced
+from segmenta.plans.fold_sql import strip
 from segmenta.plans.base import FRAME, SEG_ORDER, bucket, bucket_sql, frame, seg
 from segmenta.plans.segments import _GROUPS, _MERGE
 from segmenta.plans.texts import _PATH
@@ -51,9 +52,9 @@ def run_context(spark: SparkSession, d: str) -> DataFrame:
 
 _BLANK = f"""{_MERGE}, g AS (SELECT rec_id, grp, any_value(speaker) AS speaker, string_agg(text, '' ORDER BY idx) AS text, CASE WHEN arg_min(coalesce(emotion, '?'), idx) IN ('?', 'sad') THEN '' ELSE string_agg(text, '' ORDER BY idx) END AS tgt FROM m3 GROUP BY rec_id, grp),
 s AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY rec_id ORDER BY grp) = speaker THEN 0 ELSE 1 END AS f FROM g), r AS (SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY grp ROWS UNBOUNDED PRECEDING) AS run FROM s),
-b AS (SELECT *, coalesce(sum(CASE WHEN tgt <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, run ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bundle FROM r),
-w AS (SELECT *, count(*) OVER p AS n, first_value(tgt) OVER q AS head, first_value(grp) OVER q AS lead, string_agg(text, '') OVER (PARTITION BY rec_id, run, bundle ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS src FROM b WINDOW p AS (PARTITION BY rec_id, run, bundle), q AS (PARTITION BY rec_id, run, bundle ORDER BY grp))
-SELECT rec_id, grp, CASE WHEN n > 1 AND head = '' AND src <> '' THEN CASE WHEN grp = lead THEN src ELSE '' END ELSE tgt END AS tgt, n > 1 AND head = '' AND src <> '' AS retried FROM w"""
+b AS (SELECT *, coalesce(sum(CASE WHEN {strip('tgt')} <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, run ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bundle FROM r),
+w AS (SELECT *, count(*) OVER p AS n, first_value(tgt) OVER q AS head, first_value(grp) OVER q AS lead, string_agg({strip('text')}, '') OVER (PARTITION BY rec_id, run, bundle ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS src FROM b WINDOW p AS (PARTITION BY rec_id, run, bundle), q AS (PARTITION BY rec_id, run, bundle ORDER BY grp))
+SELECT rec_id, grp, CASE WHEN n > 1 AND {strip('head')} = '' AND src <> '' THEN CASE WHEN grp = lead THEN src ELSE '' END ELSE tgt END AS tgt, n > 1 AND {strip('head')} = '' AND src <> '' AS retried FROM w"""
 
 
 def _blank_groups(spark: SparkSession, d: str) -> DataFrame:
