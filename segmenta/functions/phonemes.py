@@ -33,10 +33,6 @@ CLASS_OF = {p: name for name, ps in reversed(CLASSES.items()) for p in ps.split(
 VOWELS = [p for p, name in CLASS_OF.items() if name in list(CLASSES)[:7]]
 
 
-def _of(key: Column, table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
-
-
 def of_text(text: Column, lang: Column) -> Column:
     """Phonemes of a text: Chinese by letters without spaces, English by words in lower case, others by letters."""
     letters = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
@@ -45,44 +41,62 @@ def of_text(text: Column, lang: Column) -> Column:
 
 
 def bare(phoneme: Column) -> Column:
-    """Without the digits of tone or stress."""
-    return F.regexp_replace(F.trim(phoneme), "[0-9]+$", "")
+    """Without the digits of tone or stress. Most phonemes are one letter, which needs no pattern."""
+    plain = (F.length(phoneme) == 1) & ~phoneme.between("0", "9") & (phoneme != " ")
+    return F.when(plain, phoneme).otherwise(F.regexp_replace(F.trim(phoneme), "[0-9]+$", ""))
 
 
 def final(phoneme: Column) -> Column:
     """The final of a pinyin syllable, null if it is none. Finals begin with vowels and initials have none, so a syllable is
     its leading consonants and a final that is the whole rest."""
-    return F.nullif(F.regexp_extract(F.lower(bare(phoneme)), f"^[{INITIAL_LETTERS}]*({'|'.join(FINALS)})$", 1), F.lit(""))
+    return _final(F.lower(bare(phoneme)))
+
+
+def _final(low: Column) -> Column:
+    whole = F.nullif(F.regexp_extract(low, f"^[{INITIAL_LETTERS}]*({'|'.join(FINALS)})$", 1), F.lit(""))
+    return F.when(F.length(low) == 1, F.when(low.isin([f for f in FINALS if len(f) == 1]), low)).otherwise(whole)
+
+
+#: Every listed phoneme is one letter, so its class is found by exchanging it for a mark of the class.
+_MARKS = {name: chr(0xE000 + i) for i, name in enumerate(CLASSES)}
 
 
 def kind(phoneme: Column) -> Column:
-    """The class of a phoneme as it is written, else of its bare form in lower case; null without one."""
-    return F.coalesce(_of(phoneme, CLASS_OF), _of(F.lower(bare(phoneme)), CLASS_OF))
+    """The mark of a phoneme's class as it is written; the phoneme itself without one."""
+    return F.when(F.length(phoneme) == 1, F.translate(phoneme, "".join(CLASS_OF), "".join(_MARKS[c] for c in CLASS_OF.values()))).otherwise("")
+
 
+def described(phoneme: Column) -> Column:
+    """What the other functions ask of a phoneme, found once: its final, its bare form in capitals and in small letters, and
+    the marks of its class as written and of its bare small form."""
+    low = F.lower(bare(phoneme))
+    return F.struct(_final(low).alias("final"), F.upper(low).alias("arpa"), low.alias("low"), kind(phoneme).alias("written"), kind(low).alias("kind"))
 
-def openness(phoneme: Column) -> Column:
-    """(class, openness) of a phoneme: as a pinyin syllable, else an ARPA vowel, else by its class, else mid."""
+
+def openness(x: Column) -> Column:
+    """(class, openness) of a described phoneme: as a pinyin syllable, else an ARPA vowel, else by its class as written or
+    else of its bare form, else mid."""
     pair = lambda c, v: F.struct(F.lit(c).alias("class"), F.lit(v).alias("openness"))
-    f, arpa, k = final(phoneme), F.upper(bare(phoneme)), kind(phoneme)
+    f, arpa = x["final"], x["arpa"]
     out = F.when(f.isin(OPEN_FINALS), pair("open", 0.75)).when(f.isin(MID_FINALS), pair("mid", 0.55)).when(f.isNotNull(), pair("mid", 0.45))
     out = out.when(arpa.isin(OPEN_ARPA), pair("open", 0.8)).when(arpa.isin(MID_ARPA), pair("mid", 0.55)).when(arpa.isin(ARPA_VOWELS), pair("closed", 0.25))
-    for c, v in dict.fromkeys(BY_CLASS.values()):
-        out = out.when(k.isin([n for n, x in BY_CLASS.items() if x == (c, v)]), pair(c, v))
+    marks = lambda cv: [_MARKS[n] for n, y in BY_CLASS.items() if y == cv]
+    for k in ("written", "kind"):
+        for c, v in dict.fromkeys(BY_CLASS.values()):
+            out = out.when(x[k].isin(marks((c, v))), pair(c, v))
     return out.otherwise(pair("mid", 0.5))
 
 
-def is_vowel(phoneme: Column) -> Column:
-    low = F.lower(bare(phoneme))
-    return final(phoneme).isNotNull() | F.upper(bare(phoneme)).isin(ARPA_VOWELS) | low.isin(*VOWELS, *"aeiou")
+def is_vowel(x: Column) -> Column:
+    return x["final"].isNotNull() | x["arpa"].isin(ARPA_VOWELS) | x["low"].isin(*VOWELS, *"aeiou")
 
 
-def vowel_openness(phoneme: Column) -> Column:
+def vowel_openness(x: Column, own: Column) -> Column:
     """Openness of a vowel; that of the widest finals and ARPA vowels is CORE_LEAST at least."""
-    wide = F.coalesce(final(phoneme).isin(CORE_FINALS), F.lit(False)) | F.upper(bare(phoneme)).isin(CORE_ARPA)
-    own = openness(phoneme)["openness"]
+    wide = F.coalesce(x["final"].isin(CORE_FINALS), F.lit(False)) | x["arpa"].isin(CORE_ARPA)
     return F.when(wide, F.greatest(own, F.lit(CORE_LEAST))).otherwise(own)
 
 
-def is_border(phoneme: Column) -> Column:
+def is_border(x: Column) -> Column:
     """Is its start one that lips have to meet, as of plosives and open vowels? As it is written."""
-    return F.coalesce(_of(phoneme, CLASS_OF).isin(*BORDER_CLASSES), F.lit(False))
+    return x["written"].isin(*(_MARKS[c] for c in BORDER_CLASSES))

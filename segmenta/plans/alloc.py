@@ -142,12 +142,12 @@ def _phones(spark: SparkSession, d: str) -> DataFrame:
 def _phonemes(spark: SparkSession, d: str) -> DataFrame:
     """Phonemes with their openness, timed in whole milliseconds by cumulative weights of half plus openness."""
     rows = _phones(spark, d).select("seg_id", "start_ms", "end_ms", F.posexplode("phonemes").alias("pos", "phoneme"))
-    rows = rows.withColumn("o", P.openness(F.col("phoneme")))
+    rows = rows.withColumn("x", P.described(F.col("phoneme"))).withColumn("o", P.openness(F.col("x")))
     own = W.partitionBy("seg_id")
     before = own.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("wt", (50 + F.round(F.col("o.openness") * 100)).cast("bigint"))
     rows = rows.withColumn("done", F.coalesce(F.sum("wt").over(before), F.lit(0))).withColumn("total", F.sum("wt").over(own))
-    return rows.select("seg_id", "pos", "phoneme", F.col("o.class").alias("class"), F.col("o.openness").alias("openness"), F.expr("start_ms + (end_ms - start_ms) * done div total").alias("at_ms"))
+    return rows.select("seg_id", "pos", "phoneme", "x", F.col("o.class").alias("class"), F.col("o.openness").alias("openness"), F.expr("start_ms + (end_ms - start_ms) * done div total").alias("at_ms"))
 
 
 @query(f"{_PHON[:_PHON.index('c1 AS')].rstrip().rstrip(',')} SELECT seg_id, ps AS phonemes FROM c0")
@@ -169,7 +169,8 @@ def phoneme_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each different phoneme of the segments: without tone, its pinyin final, its class and openness."""
     rows = _phones(spark, d).select(F.explode("phonemes").alias("phoneme")).distinct()
     p = F.col("phoneme")
-    return rows.select("phoneme", P.bare(p).alias("bare"), P.final(p).alias("final"), P.openness(p)["class"].alias("class"), P.openness(p)["openness"].alias("openness"))
+    rows = rows.withColumn("x", P.described(p)).withColumn("o", P.openness(F.col("x")))
+    return rows.select("phoneme", P.bare(p).alias("bare"), "x.final", "o.class", "o.openness")
 
 
 _VOWEL = """ f IS NOT NULL OR up IN ('AA', 'AE', 'AH', 'AO', 'AW', 'AY', 'EH', 'ER', 'EY', 'IH', 'IY', 'OW', 'OY', 'UH', 'UW') OR low IN ('i', 'y', 'ɨ', 'ʉ', 'ɯ', 'u', 'ɪ', 'ʏ', 'ʊ', 'e', 'ø', 'ɘ', 'ɵ', 'ɤ', 'o', 'ə', 'ɛ', 'œ', 'ɜ', 'ɞ', 'ʌ', 'ɔ', 'æ', 'ɐ', 'a', 'ɶ', 'ɑ', 'ɒ')"""
@@ -178,15 +179,15 @@ _VOWEL = """ f IS NOT NULL OR up IN ('AA', 'AE', 'AH', 'AO', 'AW', 'AY', 'EH', '
 @query(_PHON + f"SELECT seg_id, CAST(pos AS INT) AS pos, ph AS phoneme, at_ms, CASE WHEN f IN ('a', 'ao', 'ang', 'ia', 'ua', 'ai') OR up IN ('AA', 'AE', 'AO') THEN greatest(o, 55) ELSE o END / 100.0 AS openness, CASE WHEN f IN ('a', 'ao', 'ang', 'ia', 'ua', 'ai') OR up IN ('AA', 'AE', 'AO') THEN greatest(o, 55) ELSE o END > 45 AS is_core FROM phon WHERE {_VOWEL}")
 def vowel_points(spark: SparkSession, d: str) -> DataFrame:
     """Vowels in time, those that mouths are seen to open for as core."""
-    p = F.col("phoneme")
-    rows = _phonemes(spark, d).where(P.is_vowel(p)).withColumn("openness", P.vowel_openness(p))
+    x = F.col("x")
+    rows = _phonemes(spark, d).where(P.is_vowel(x)).withColumn("openness", P.vowel_openness(x, F.col("openness")))
     return rows.select("seg_id", "pos", "phoneme", "at_ms", "openness", (F.col("openness") > P.CORE_OVER).alias("is_core"))
 
 
 @query(_PHON + "SELECT seg_id, CAST(pos AS INT) AS pos, ph AS phoneme, at_ms FROM phon WHERE ph IN ('p', 'b', 't', 'd', 'k', 'g', 'ʔ', 'æ', 'ɐ', 'a', 'ɶ', 'ɑ', 'ɒ')")
 def phoneme_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Starts of plosives and open vowels, as written: the last branch of sync points."""
-    return _phonemes(spark, d).where(P.is_border(F.col("phoneme"))).select("seg_id", "pos", "phoneme", "at_ms")
+    return _phonemes(spark, d).where(P.is_border(F.col("x"))).select("seg_id", "pos", "phoneme", "at_ms")
 
 
 @query(f"""WITH {SEG}, s AS (SELECT seg_id, start_ms, end_ms, greatest(1, length(replace(text, ' ', ''))) AS n, replace(text, ' ', '') AS t FROM seg WHERE text <> '')

@@ -412,7 +412,7 @@ def test_phonemes(spark):
     cases = [("zhang1", "ang", "open", 0.75), ("hao3", "ao", "open", 0.75), ("AA1", None, "open", 0.8), ("EH0", "e", None, None), ("IY1", None, "closed", 0.25), ("b", None, "closed", 0.1), ("ə", None, "mid", 0.5), ("好", None, "mid", 0.5), ("æ", None, "open", 0.85), ("er2", None, "mid", 0.55), ("s", None, "mid", 0.4)]
     df = spark.createDataFrame([(c[0],) for c in cases], "p string")
     p = F.col("p")
-    for r, (_, final, kind, value) in zip(df.select(phonemes.final(p), phonemes.openness(p)).collect(), cases, strict=True):
+    for r, (_, final, kind, value) in zip(df.select(phonemes.final(p), phonemes.openness(phonemes.described(p))).collect(), cases, strict=True):
         if kind:
             assert (r[0], r[1]["class"], r[1]["openness"]) == (final, kind, value)
 
