@@ -246,7 +246,9 @@ def voice_slot(spark: SparkSession, d: str) -> DataFrame:
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     """Status of a run: the length ratio in [0.8, 1.15] and 95 % of segments covered; reasons where not."""
     s = seg(spark, d).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("text") != "", 1).otherwise(0)).alias("ok"))
-    m = memo(spark, d).where("rec_id is not null").groupBy("rec_id").agg((F.sum("target_syllables") / F.sum("source_syllables")).alias("ratio"))
+    m = memo(spark, d).where("rec_id is not null").groupBy("rec_id").agg(F.sum("target_syllables").alias("t"), F.sum("source_syllables").alias("s"))
+    # a source without syllables: infinite as in the SQL, NaN if the target has none either, and so degraded
+    m = m.select("rec_id", F.when(F.col("s") == 0, F.col("t") * F.lit(float("inf"))).otherwise(F.col("t") / F.col("s")).alias("ratio"))
     rows = s.join(m, "rec_id").withColumn("c", F.col("ok") / F.col("n"))
     good, full = F.coalesce(F.col("ratio").between(0.8, 1.15), F.lit(False)), F.col("c") >= 0.95
     reasons = F.array_compact(F.array(F.when(~good, "length_ratio"), F.when(~full, "coverage")))
